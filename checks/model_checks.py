@@ -228,7 +228,7 @@ def _texts(spark, sf_dir, **how):
 
 
 def _texts_sql(phrase_sql: str, mapped: bool, keep_empty: bool, min_words: int) -> str:
-    """Phrases per review as ``phrase_sql`` (doc_id, p, at), joined, cleaned and without stop words."""
+    """Phrases per review as ``phrase_sql`` (doc_id, p, place), joined, cleaned and without stop words."""
     text, word = ("fa", "word") if not mapped else (D.sql_to_arabic("fa"), D.sql_to_arabic("word"))
     rows = f"rows AS (SELECT * FROM reviews_fa WHERE len({D.sql_words('comment')}) >= {min_words})"
     return (
@@ -239,7 +239,7 @@ def _texts_sql(phrase_sql: str, mapped: bool, keep_empty: bool, min_words: int)
             D.annotated_sql("rows", "doc_id", "comment", D.LEXICON_FA_SQL),
         )
         + f""", phrases AS ({phrase_sql}),
-        joined AS (SELECT r.doc_id, r.room_type, r.sentiment, coalesce(string_agg(p, ' ' ORDER BY at), '') AS fa
+        joined AS (SELECT r.doc_id, r.room_type, r.sentiment, coalesce(string_agg(p, ' ' ORDER BY place), '') AS fa
           FROM rows r LEFT JOIN phrases p ON p.doc_id = r.doc_id GROUP BY ALL),
         listed AS (SELECT list({word}) AS words FROM stop),
         cleaned AS (SELECT doc_id AS review_id, room_type, array_to_string(list_filter(
@@ -249,14 +249,14 @@ def _texts_sql(phrase_sql: str, mapped: bool, keep_empty: bool, min_words: int)
     )
 
 
-_RUNS_SQL = """SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) AS p, min(sent * 1000000 + pos) AS at
+_RUNS_SQL = """SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) AS p, min(sent * 1000000 + pos) AS place
   FROM (SELECT *, sum(CASE WHEN upos IN ('NOUN', 'ADJ') THEN 0 ELSE 1 END) OVER
       (PARTITION BY doc_id, sent ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM annotated)
   WHERE upos IN ('NOUN', 'ADJ') GROUP BY doc_id, sent, island HAVING count(*) > 1"""
-_PAIRS_SQL = """SELECT doc_id, token || ' ' || next_token AS p, sent * 1000000 + pos AS at FROM (SELECT *,
+_PAIRS_SQL = """SELECT doc_id, token || ' ' || next_token AS p, sent * 1000000 + pos AS place FROM (SELECT *,
       lead(token) OVER w AS next_token, lead(upos) OVER w AS next_upos FROM annotated
       WINDOW w AS (PARTITION BY doc_id, sent ORDER BY pos)) WHERE upos = 'NOUN' AND next_upos = 'ADJ'"""
-_NOUNS_SQL = "SELECT doc_id, token AS p, sent * 1000000 + pos AS at FROM annotated WHERE upos = 'NOUN'"
+_NOUNS_SQL = "SELECT doc_id, token AS p, sent * 1000000 + pos AS place FROM annotated WHERE upos = 'NOUN'"
 
 
 @check("i13_topic_texts", _texts_sql(_RUNS_SQL, True, False, 3))

@@ -257,6 +257,21 @@ def keep_pos(tokens: Column, tags: Iterable[str]) -> Column:
     return F.filter(tokens, lambda t: t["upos"].isin(tags))
 
 
+def explode_words(tokens: Column | str, *names: str) -> Column:
+    """``posexplode`` for a computed array; pair it with a filter on the word being present.
+
+    The inner form lets the optimiser add a size test below the explosion, which evaluates the
+    expression behind the array again for every row. The outer form is left alone.
+    """
+    return F.posexplode_outer(tokens).alias(*names)
+
+
+def place(key: Column, pos: Column) -> Column:
+    """(row id, position) as one ordered number, so that its minimum needs no sorted aggregation."""
+    shift = F.lit(1 << 31).cast("decimal(10,0)")
+    return key.cast("decimal(19,0)") * shift + pos
+
+
 # --- keys ------------------------------------------------------------------------------------
 
 

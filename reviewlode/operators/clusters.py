@@ -43,9 +43,14 @@ def cluster_word_counts(
     df: DataFrame, column: str = "comment", cluster: str = "cluster", key: str = "review_id"
 ) -> DataFrame:
     """``cluster, word, count`` with the place where each word is first seen in its cluster."""
-    exploded = df.select(cluster, key, F.posexplode(X.words(F.col(column))).alias("pos", "word"))
-    return exploded.groupBy(cluster, "word").agg(
-        F.count(F.lit(1)).alias("count"), F.min(F.struct(key, "pos")).alias("first_seen")
+    exploded = df.select(cluster, key, X.explode_words(X.words(F.col(column)), "pos", "word"))
+    return (
+        exploded.filter("word IS NOT NULL")
+        .groupBy(cluster, "word")
+        .agg(
+            F.count(F.lit(1)).alias("count"),
+            F.min(X.place(F.col(key), F.col("pos"))).alias("first_seen"),
+        )
     )
 
 

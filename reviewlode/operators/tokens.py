@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewlode.functions import text as X
 from reviewlode.operators.skew import lookup_join, number_rows
-from reviewlode.session import fits_broadcast
+from reviewlode.session import land
 
 # A stop list up to this size becomes a literal set; a longer one is joined.
 STOP_LITERALS = 20_000
@@ -20,12 +20,18 @@ UNKNOWN_TAG = "X"
 ANNOTATED = "array<struct<sent:int,pos:int,text:string,lemma:string,upos:string>>"
 
 
+def _short_list(words: DataFrame, limit: int) -> list[str] | None:
+    """The distinct words, or nothing when there are more than ``limit``."""
+    rows = words.select("word").distinct().limit(limit + 1).collect()
+    return sorted(row.word for row in rows if row.word is not None) if len(rows) <= limit else None
+
+
 def word_list(words: DataFrame, limit: int = STOP_LITERALS) -> list[str]:
     """The distinct words of a list of checked size."""
-    rows = words.select("word").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
+    listed = _short_list(words, limit)
+    if listed is None:
         raise ValueError(f"more than {limit} words: use remove_words, which joins long lists")
-    return sorted(row.word for row in rows if row.word is not None)
+    return listed
 
 
 def remove_words(
@@ -36,10 +42,11 @@ def remove_words(
     A short list becomes a set inside the expression. A long one is joined to the exploded words,
     with frequent words spread over tasks, and the rest is put back in order per row.
     """
-    if fits_broadcast(stop, limit):
-        return df.withColumn(tokens, X.keep_words(F.col(tokens), word_list(stop, limit)))
+    short = _short_list(stop, limit)
+    if short is not None:
+        return df.withColumn(tokens, X.keep_words(F.col(tokens), short))
     listed = stop.select(F.col("word").alias("_w")).distinct().withColumn("_stop", F.lit(True))
-    exploded = df.select(key, F.posexplode(tokens).alias("_pos", "_w"))
+    exploded = words_of(df, tokens, key, "_pos", "_w")
     flagged = lookup_join(exploded, listed, "_w", "left", spread_by=[key, "_pos"])
     kept = flagged.filter(F.col("_stop").isNull())
     return _put_back(df, kept, key, tokens, F.struct("_pos", "_w"), lambda t: t["_w"])
@@ -74,7 +81,8 @@ def annotate(
     tokens = df.select(key, F.explode_outer(X.tokenise(F.col(column))).alias("t")).select(
         key, "t.sent", "t.pos", F.col("t.text").alias("token")
     )
-    known = lookup_join(tokens, best_entries(lexicon), "token", "left", spread_by=[key, "sent", "pos"])
+    entries = land(best_entries(lexicon), "lexicon")
+    known = lookup_join(tokens, entries, "token", "left", spread_by=[key, "sent", "pos"])
     entry = F.struct(
         "sent",
         "pos",
@@ -82,8 +90,8 @@ def annotate(
         F.coalesce("lemma", "token").alias("lemma"),
         F.coalesce("upos", F.lit(UNKNOWN_TAG)).alias("upos"),
     )
-    entries = F.collect_list(F.when(F.col("token").isNotNull(), entry))
-    return known.groupBy(key).agg(F.array_sort(entries).alias("tokens"))
+    found = F.collect_list(F.when(F.col("token").isNotNull(), entry))
+    return known.groupBy(key).agg(F.array_sort(found).alias("tokens"))
 
 
 def annotate_with(
@@ -126,11 +134,17 @@ def clean_lemma(
     return annotate(cleaned, lexicon, column, key).select(key, lemma_text(F.col("tokens")).alias(column))
 
 
+def words_of(df: DataFrame, tokens: str, key: str, pos: str = "pos", word: str = "token") -> DataFrame:
+    """``key, pos, word``: one row per entry of an array column."""
+    exploded = df.select(key, X.explode_words(tokens, pos, word))
+    return exploded.filter(F.col(word).isNotNull())
+
+
 def token_counts(df: DataFrame, tokens: str = "tokens", key: str = "review_id") -> DataFrame:
     """``token, count`` with the place where each token is first seen."""
-    exploded = df.select(key, F.posexplode(tokens).alias("pos", "token"))
-    return exploded.groupBy("token").agg(
-        F.count(F.lit(1)).alias("count"), F.min(F.struct(key, "pos")).alias("first_seen")
+    return words_of(df, tokens, key).groupBy("token").agg(
+        F.count(F.lit(1)).alias("count"),
+        F.min(X.place(F.col(key), F.col("pos"))).alias("first_seen"),
     )
 
 
@@ -145,7 +159,7 @@ def encode_tokens(
     df: DataFrame, vocab: DataFrame, tokens: str = "tokens", key: str = "review_id", name: str = "ids"
 ) -> DataFrame:
     """Replace tokens by vocabulary ids, in order; unknown tokens are dropped."""
-    exploded = df.select(key, F.posexplode(tokens).alias("_pos", "token"))
+    exploded = words_of(df, tokens, key, "_pos")
     ids = lookup_join(exploded, vocab.select("token", "id"), "token", "inner", spread_by=[key, "_pos"])
     entry = F.struct("_pos", F.col("id").cast("int").alias("id"))
     return _put_back(df.select(key), ids, key, name, entry, lambda t: t["id"])

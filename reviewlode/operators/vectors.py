@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from reviewlode.functions import text as X
 from reviewlode.operators.skew import lookup_join
 from reviewlode.operators.tokens import df_bounds
+from reviewlode.session import land
 
 # Largest vocabulary a driver-side model may hold.
 VOCAB_LIMIT = 1 << 22
@@ -41,8 +42,8 @@ def with_terms(
 def term_counts(df: DataFrame, terms: str = "terms", key: str = "review_id") -> DataFrame:
     """``key, term, n``; texts are placed by key first, so their terms are counted where they are."""
     placed = df.select(key, terms).repartition(key)
-    exploded = placed.select(key, F.explode(terms).alias("term"))
-    return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    exploded = placed.select(key, F.explode_outer(terms).alias("term"))
+    return exploded.filter("term IS NOT NULL").groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tfidf(
@@ -56,12 +57,13 @@ def tfidf(
     """``key, term, weight``: ``tf * (ln((1+n)/(1+df)) + 1)``, each text scaled to length 1."""
     n = df.count()
     low, high = df_bounds(n, min_df, max_df)
-    frequencies = (
+    counted = (
         df.select(F.explode(F.array_distinct(terms)).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
         .filter((F.col("df") >= low) & (F.col("df") <= high))
     )
+    frequencies = land(counted, "frequencies")
     rows = lookup_join(term_counts(df, terms, key), frequencies, "term", "inner", spread_by=[key])
     idf = F.log(F.lit(1.0 + n) / (F.col("df") + 1)) + 1
     weighted = rows.withColumn("weight", F.col("n") * idf if use_idf else F.col("n").cast("double"))
