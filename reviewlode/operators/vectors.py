@@ -79,16 +79,17 @@ def fit_count_vectorizer(
     max_df: float = 1.0,
     vocab_limit: int = VOCAB_LIMIT,
 ) -> CountVectorizerModel:
-    """Fit the vocabulary. A ``max_df`` share of 1.0 means no upper limit.
+    """Fit the vocabulary.
 
-    Limits are passed as counts, because the vectoriser reads 1.0 as "one document".
+    Limits are passed as counts, because the vectoriser reads an upper limit of 1.0 as "one document".
     """
-    low, high = df_bounds(df.count(), min_df, max_df)
+    n = df.count()
+    low, high = df_bounds(n, min_df, max_df)
     low = max(low, 1)
     vectorizer = CountVectorizer(
         inputCol=terms, outputCol="counts", minDF=float(low), vocabSize=vocab_limit
     )
-    if max_df != 1.0:
+    if high < n:
         if high < low:
             raise EmptyVocabulary("the upper document-frequency limit is below the lower one")
         vectorizer.setMaxDF(float(high))
