@@ -90,7 +90,8 @@ TOP_STOP = 50
 
 def stop_words(df: DataFrame, words: Column) -> DataFrame:
     """The most frequent words as a stop list."""
-    counts = df.select(F.explode(words).alias("word")).groupBy("word").count()
+    exploded = df.select(F.explode_outer(words).alias("word")).filter("word IS NOT NULL")
+    counts = exploded.groupBy("word").count()
     return counts.orderBy(F.desc("count"), "word").limit(TOP_STOP).select("word")
 
 

@@ -11,6 +11,7 @@ from checks.registry import check
 from reviewlode.functions import text as X
 from reviewlode.operators import clusters, sampling, sentiment, topics, vectors
 from reviewlode.plans import scoring, themes
+from reviewlode.session import land
 
 # Small search spaces and few iterations: the published ones take hours on any machine.
 GRID = {"min_df": [1, 5], "C": [1, 10]}
@@ -89,7 +90,7 @@ _GRAMS = D.sql_model_tokens("comment")
 def i2_count_vectors(spark, sf_dir):
     rows = D.reviews(spark, sf_dir)
     stop = D.stop_list(rows, X.model_tokens(F.col("comment")))
-    terms = vectors.with_terms(rows, "comment", stop, (1, 2)).select("terms")
+    terms = land(vectors.with_terms(rows, "comment", stop, (1, 2)).select("terms"), "terms")
     model = vectors.fit_count_vectorizer(terms, min_df=10, max_df=0.5)
     totals = _column_sums(model.transform(terms), "counts", model.vocabulary)
     return totals.select("term", F.col("value").alias("total"))

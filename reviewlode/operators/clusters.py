@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import Word2Vec, Word2VecModel
+from pyspark.ml.feature import Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlode.functions import text as X
+from reviewlode.operators.vectors import fit_word_vectors
 
 
 def embed(
-    df: DataFrame, tokens: str = "tokens", size: int = 128, seed: int = 42, name: str = "embedding"
+    df: DataFrame,
+    tokens: str = "tokens",
+    size: int = 128,
+    seed: int = 42,
+    name: str = "embedding",
+    min_count: int = 1,
 ) -> tuple[DataFrame, Word2VecModel]:
     """Mean word vector of every text, from vectors learned on the same corpus."""
-    model = Word2Vec(
-        vectorSize=size, minCount=1, seed=seed, inputCol=tokens, outputCol="_vector"
-    ).fit(df.select(tokens))
+    model = fit_word_vectors(df, tokens, "_vector", size, min_count, seed)
     vectors = model.transform(df).withColumn(name, vector_to_array("_vector", "float32"))
     return vectors.drop("_vector"), model
 

@@ -190,13 +190,17 @@ def df_bounds(n: int, min_df: float, max_df: float) -> tuple[int, int]:
 
 
 def doc_freq(
-    df: DataFrame, terms: str = "tokens", min_df: float = 1, max_df: float = 1.0
+    df: DataFrame,
+    terms: str = "tokens",
+    min_df: float = 1,
+    max_df: float = 1.0,
+    n: int | None = None,
 ) -> DataFrame:
-    """``term, df`` for terms within both limits (inclusive)."""
+    """``term, df`` for terms within both limits (inclusive); ``n`` is the number of rows if known."""
     counts = (
         df.select(F.explode(F.array_distinct(terms)).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
-    low, high = df_bounds(df.count(), min_df, max_df)
+    low, high = df_bounds(df.count() if n is None else n, min_df, max_df)
     return counts.filter((F.col("df") >= low) & (F.col("df") <= high))

@@ -6,8 +6,9 @@ The vector forms feed ``pyspark.ml`` and refuse a vocabulary beyond their limit
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer
+import numpy as np
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
@@ -16,12 +17,15 @@ from pyspark.sql import functions as F
 
 from reviewlode.functions import text as X
 from reviewlode.operators.skew import lookup_join
-from reviewlode.operators.tokens import df_bounds
+from reviewlode.operators.tokens import doc_freq
 from reviewlode.session import land
 
 # Largest vocabulary a driver-side model may hold.
 VOCAB_LIMIT = 1 << 22
 
+# Largest number of values (words times dimensions) for word vectors, 1 GB as floats.
+WORD_VECTOR_LIMIT = 1 << 28
+
 
 class EmptyVocabulary(ValueError):
     """No term survives the document-frequency limits."""
@@ -56,14 +60,7 @@ def tfidf(
 ) -> DataFrame:
     """``key, term, weight``: ``tf * (ln((1+n)/(1+df)) + 1)``, each text scaled to length 1."""
     n = df.count()
-    low, high = df_bounds(n, min_df, max_df)
-    counted = (
-        df.select(F.explode(F.array_distinct(terms)).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .filter((F.col("df") >= low) & (F.col("df") <= high))
-    )
-    frequencies = land(counted, "frequencies")
+    frequencies = land(doc_freq(df, terms, min_df, max_df, n), "frequencies")
     rows = lookup_join(term_counts(df, terms, key), frequencies, "term", "inner", spread_by=[key])
     idf = F.log(F.lit(1.0 + n) / (F.col("df") + 1)) + 1
     weighted = rows.withColumn("weight", F.col("n") * idf if use_idf else F.col("n").cast("double"))
@@ -72,38 +69,38 @@ def tfidf(
     return weighted.select(key, "term", (F.col("weight") / norm).alias("weight"))
 
 
-def fit_count_vectorizer(
-    df: DataFrame,
-    terms: str = "terms",
-    min_df: float = 1,
-    max_df: float = 1.0,
-    vocab_limit: int = VOCAB_LIMIT,
-) -> CountVectorizerModel:
-    """Fit the vocabulary.
+def _vocabulary(
+    df: DataFrame, terms: str, min_df: float, max_df: float, vocab_limit: int
+) -> tuple[int, DataFrame, CountVectorizerModel]:
+    """Number of texts, the terms within the limits as a table, and their count vectoriser.
 
-    Limits are passed as counts, because the vectoriser reads an upper limit of 1.0 as "one document".
+    The corpus is read once, to count terms as a table. The vectoriser then learns its vocabulary
+    from that table, one term per row, so terms go from the executors to the model and nowhere else.
     """
     n = df.count()
-    low, high = df_bounds(n, min_df, max_df)
-    low = max(low, 1)
-    vectorizer = CountVectorizer(
-        inputCol=terms, outputCol="counts", minDF=float(low), vocabSize=vocab_limit
-    )
-    if high < n:
-        if high < low:
-            raise EmptyVocabulary("the upper document-frequency limit is below the lower one")
-        vectorizer.setMaxDF(float(high))
-    return check_vocab(vectorizer.fit(df), vocab_limit)
+    vocabulary = land(doc_freq(df, terms, min_df, max_df, n), "vocabulary")
+    check_vocab(vocabulary.count(), vocab_limit)
+    learner = CountVectorizer(inputCol=terms, outputCol="counts", vocabSize=vocab_limit)
+    return n, vocabulary, learner.fit(vocabulary.select(F.array("term").alias(terms)))
 
 
-def check_vocab(model: CountVectorizerModel, vocab_limit: int = VOCAB_LIMIT) -> CountVectorizerModel:
-    """Refuse an empty vocabulary, and one that was cut at the limit."""
-    size = len(model.vocabulary)
+def check_vocab(size: int, vocab_limit: int = VOCAB_LIMIT) -> None:
+    """Refuse an empty vocabulary, and one beyond the limit."""
     if size == 0:
         raise EmptyVocabulary("no terms remain; adjust min_df or max_df")
-    if size >= vocab_limit:
-        raise VocabularyTooLarge(f"{size} terms or more; raise min_df or vocab_limit")
-    return model
+    if size > vocab_limit:
+        raise VocabularyTooLarge(f"{size} terms; raise min_df or vocab_limit")
+
+
+def fit_count_vectorizer(
+    df: DataFrame,
+    terms: str = "terms",
+    min_df: float = 1,
+    max_df: float = 1.0,
+    vocab_limit: int = VOCAB_LIMIT,
+) -> CountVectorizerModel:
+    """Count vectors over the terms within both limits."""
+    return _vocabulary(df, terms, min_df, max_df, vocab_limit)[2]
 
 
 def fit_tfidf(
@@ -113,17 +110,49 @@ def fit_tfidf(
     use_idf: bool = True,
     min_df: float = 1,
     max_df: float = 1.0,
+    vocab_limit: int = VOCAB_LIMIT,
 ) -> PipelineModel:
-    """Vector form of :func:`tfidf`, as a fitted pipeline."""
-    counter = fit_count_vectorizer(df, terms, min_df, max_df)
+    """Vector form of :func:`tfidf`, as a fitted pipeline.
+
+    The weights follow from the document frequencies that chose the vocabulary, put into the
+    vectoriser's order by one weighted sum over the term table, so the corpus is not read again.
+    """
+    n, vocabulary, counter = _vocabulary(df, terms, min_df, max_df, vocab_limit)
     if not use_idf:
-        return Pipeline(stages=[counter, Normalizer(p=2.0, inputCol="counts", outputCol=output)]).fit(df)
-    idf = IDF(inputCol="counts", outputCol="_idf").fit(counter.transform(df))
+        return PipelineModel([counter, Normalizer(p=2.0, inputCol="counts", outputCol=output)])
+    units = counter.transform(vocabulary.select(F.array("term").alias(terms), "df"))
+    frequencies = units.agg(Summarizer.sum(F.col("counts"), F.col("df"))).first()[0].toArray()
     smooth = ElementwiseProduct(
-        scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="counts", outputCol="_weighted"
+        scalingVec=Vectors.dense(np.log((1 + n) / (1 + frequencies)) + 1),
+        inputCol="counts",
+        outputCol="_weighted",
     )
     scale = Normalizer(p=2.0, inputCol="_weighted", outputCol=output)
-    return PipelineModel(stages=[counter, smooth, scale])
+    return PipelineModel([counter, smooth, scale])
+
+
+def fit_word_vectors(
+    df: DataFrame,
+    tokens: str = "tokens",
+    output: str = "features",
+    size: int = 128,
+    min_count: int = 1,
+    seed: int = 42,
+    weight_limit: int = WORD_VECTOR_LIMIT,
+) -> Word2VecModel:
+    """Word vectors learned on the corpus; a text's vector is their mean.
+
+    Training holds one vector per word on every executor, so the number of words is checked first.
+    """
+    words = df.select(F.explode_outer(tokens).alias("w")).filter("w IS NOT NULL").groupBy("w").count()
+    kept = words.filter(F.col("count") >= min_count).count()
+    if kept == 0:
+        raise EmptyVocabulary("no words remain; lower min_count")
+    if kept * size > weight_limit:
+        raise VocabularyTooLarge(f"{kept} words of {size} values; raise min_count")
+    return Word2Vec(
+        vectorSize=size, minCount=min_count, seed=seed, inputCol=tokens, outputCol=output
+    ).fit(df.select(tokens))
 
 
 def mean_pool(df: DataFrame, group: str, vector: str = "embedding", name: str = "mean") -> DataFrame:

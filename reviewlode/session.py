@@ -39,24 +39,25 @@ def land(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Dat
     table survives a lost executor, so every reader sees the same rows.
     """
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+        # Rebalancing gives every folder a few files of even size and splits a folder's hot part.
+        df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """True when ``df`` is proven to hold at most ``max_rows`` rows and ``max_bytes`` of text."""
+    """True when ``df`` is proven to hold at most ``max_rows`` rows and ``max_bytes`` of text.
+
+    Every task counts its own part and sends one row; pass a stored or landed table, since the plan
+    behind ``df`` runs once for the measurement.
+    """
     width = F.lit(16 * len(df.columns))
     for column in df.columns:
         width = width + F.coalesce(F.octet_length(F.col(column).cast("string")), F.lit(0))
-    rows, size = (
-        df.select(width.cast("long").alias("w"))
-        .limit(max_rows + 1)
-        .agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0)))
-        .first()
-    )
+    measured = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0)))
+    rows, size = measured.first()
     return rows <= max_rows and size <= max_bytes

@@ -146,6 +146,7 @@ def test_vocabulary_limits(spark):
     assert sorted(vectors.fit_count_vectorizer(rows).vocabulary) == ["a", "b"]
     assert vectors.fit_count_vectorizer(rows, max_df=0.5).vocabulary == ["b"]
     assert vectors.fit_count_vectorizer(rows, max_df=1).vocabulary == ["b"]
+    assert vectors.fit_count_vectorizer(rows, max_df=0.5, vocab_limit=1).vocabulary == ["b"]
     with pytest.raises(vectors.EmptyVocabulary):
         vectors.fit_count_vectorizer(rows, min_df=2, max_df=0.5)
     with pytest.raises(vectors.EmptyVocabulary):
@@ -154,6 +155,15 @@ def test_vocabulary_limits(spark):
         vectors.fit_count_vectorizer(rows, vocab_limit=1)
 
 
+def test_word_vectors_are_bounded(spark):
+    rows = spark.createDataFrame([(["a", "b"],), (["a"],)], "tokens array<string>")
+    assert vectors.fit_word_vectors(rows, size=4, min_count=2).getVectors().count() == 1
+    with pytest.raises(vectors.VocabularyTooLarge):
+        vectors.fit_word_vectors(rows, size=4, weight_limit=7)
+    with pytest.raises(vectors.EmptyVocabulary):
+        vectors.fit_word_vectors(rows, size=4, min_count=3)
+
+
 def test_mean_pool(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0]), (0, [3.0, 4.0]), (1, [5.0, 6.0])], "c int, embedding array<float>")
     assert {r.c: r["mean"] for r in vectors.mean_pool(rows, "c").collect()} == {0: [2.0, 3.0], 1: [5.0, 6.0]}
