@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewlode.functions import text as X
 from reviewlode.operators.vectors import fit_word_vectors
+from reviewlode.session import for_training
 
 
 def embed(
@@ -31,7 +32,7 @@ def cluster(
 ) -> tuple[DataFrame, KMeansModel]:
     """K-means; every row gets its cluster id."""
     points = df.withColumn("_point", array_to_vector(F.col(vector)))
-    training = points.select("_point").persist()
+    training = for_training(points.select("_point"), points.count()).persist()
     try:
         model = KMeans(featuresCol="_point", predictionCol=name, k=k, seed=seed).fit(training)
     finally:

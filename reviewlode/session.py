@@ -61,3 +61,15 @@ def fits_broadcast(
     measured = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0)))
     rows, size = measured.first()
     return rows <= max_rows and size <= max_bytes
+
+
+# Training rows one task should hold at least; an iteration over fewer is all scheduling.
+TRAINING_ROWS = 2_000
+
+
+def for_training(df: DataFrame, n: int) -> DataFrame:
+    """Merge the partitions of a small training set of ``n`` rows; a large one keeps its own.
+
+    Iterative fits start one job per step, so their cost on little data is the number of tasks.
+    """
+    return df.coalesce(max(1, -(-n // TRAINING_ROWS)))
