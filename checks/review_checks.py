@@ -11,8 +11,10 @@ from checks.registry import check
 from reviewlode.functions import text as X
 from reviewlode.operators import cleaning, grouping, merging
 from reviewlode.session import work_dir
+from reviewlode.schema import NA_TOKENS
 from reviewlode.sources import pages as P
-from reviewlode.sources import readers
+from reviewlode.sources import readers, sinks
+from reviewlode.streaming.append import append_new_pages
 
 # --- sources ---------------------------------------------------------------------------------
 
@@ -23,11 +25,60 @@ from reviewlode.sources import readers
     + " SELECT comment, sentiment AS label FROM reviews WHERE sentiment IS NOT NULL",
 )
 def a3_read_labelled(spark, sf_dir):
-    path = f"{work_dir(spark)}/labelled-{uuid.uuid4().hex}"
+    path = _scratch(spark, "labelled")
     D.labelled(spark, sf_dir).write.parquet(path)
     return readers.read_labelled(spark, path)
 
 
+def _scratch(spark, name: str) -> str:
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_NULLS = ", ".join(f"'{t}'" for t in NA_TOKENS)
+
+
+@check(
+    "a1_read_reviews",
+    D.with_sql(D.REVIEWS_SQL)
+    + " SELECT page, "
+    + ", ".join(
+        f"CASE WHEN {c} NOT IN ({_NULLS}) THEN {c} END AS {c}" for c in ("location", "room_type", "comment", "sentiment")
+    )
+    + " FROM reviews",
+)
+def a1_read_reviews(spark, sf_dir):
+    """Every review through the CSV dialect: quotes, line breaks, outer blanks and null spellings."""
+    path = _scratch(spark, "csv")
+    sinks.write_table(D.reviews(spark, sf_dir).drop("review_id"), path, "csv")
+    return readers.read_reviews(spark, path)
+
+
+_WORD_LINES_SQL = f"SELECT DISTINCT unnest({D.sql_words('text')}) AS w FROM documents"
+
+
+def _word_file(spark, sf_dir) -> str:
+    """A list of all words with stray blanks on some lines and a blank line for each."""
+    words = D.documents(spark, sf_dir).select(F.explode(X.words(F.col("text"))).alias("w")).distinct()
+    padded = F.when(F.length("w") > 5, F.concat(F.lit(" "), "w", F.lit("\t"))).otherwise(F.col("w"))
+    path = _scratch(spark, "words")
+    words.select(F.explode(F.array(padded, F.lit(" "))).alias("value")).write.text(path)
+    return path
+
+
+@check("a4_read_wordlist", f"SELECT w AS word FROM ({_WORD_LINES_SQL})")
+def a4_read_wordlist(spark, sf_dir):
+    return readers.read_wordlist(spark, _word_file(spark, sf_dir))
+
+
+@check(
+    "a5_read_raw_wordlist",
+    f"SELECT CASE WHEN length(w) > 5 THEN ' ' || w || '\t' ELSE w END AS word FROM ({_WORD_LINES_SQL}) "
+    f"UNION ALL SELECT ' ' AS word FROM ({_WORD_LINES_SQL})",
+)
+def a5_read_raw_wordlist(spark, sf_dir):
+    return readers.read_wordlist(spark, _word_file(spark, sf_dir), strip=False)
+
+
 @check(
     "a6_page_urls",
     "SELECT i AS page_id, 'https://example.org/room/' || i || '/' AS url "
@@ -90,6 +141,70 @@ def a8_extract_reviews(spark, sf_dir):
     return P.extract_reviews(D.table(spark, sf_dir, "pages"), LAYOUT_TWO)
 
 
+@check("a9_append_reviews", f"{_pages_sql(LAYOUT_ONE)} UNION ALL {_pages_sql(LAYOUT_TWO)}")
+def a9_append_reviews(spark, sf_dir):
+    path = _scratch(spark, "appended")
+    sinks.append_reviews(a7_extract_reviews(spark, sf_dir), path)
+    sinks.append_reviews(a8_extract_reviews(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+@check("a9_append_new_pages", _pages_sql(LAYOUT_TWO))
+def a9_append_new_pages(spark, sf_dir):
+    """Two runs over the same stored pages: the second finds nothing new."""
+    path, name = _scratch(spark, "streamed"), uuid.uuid4().hex
+    for _ in range(2):
+        append_new_pages(spark, f"{sf_dir}/pages*.parquet", LAYOUT_TWO, path, name).awaitTermination()
+    return spark.read.parquet(path)
+
+
+@check("a10_write_table", _pages_sql(LAYOUT_ONE))
+def a10_write_table(spark, sf_dir):
+    path = _scratch(spark, "table")
+    sinks.write_table(a8_extract_reviews(spark, sf_dir), path)
+    sinks.write_table(a7_extract_reviews(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+def _slices(spark, sf_dir):
+    """Counts per room type and sentiment, as a stand-in for a topic table."""
+    rows = D.reviews(spark, sf_dir).filter("sentiment IS NOT NULL AND room_type <> ''")
+    return rows.groupBy("room_type", "sentiment").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SLICES_SQL = (
+    D.with_sql(D.REVIEWS_SQL)
+    + ", slices AS (SELECT room_type, sentiment, count(*) AS n FROM reviews "
+    "WHERE sentiment IS NOT NULL AND room_type <> '' GROUP BY ALL)"
+)
+
+
+@check("a11_write_by_sentiment", _SLICES_SQL + " SELECT * FROM slices")
+def a11_write_by_sentiment(spark, sf_dir):
+    path = _scratch(spark, "sheets")
+    sinks.write_topics(_slices(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+@check("a12_write_by_group", _SLICES_SQL + " SELECT *, room_type || '_' || sentiment AS sheet FROM slices")
+def a12_write_by_group(spark, sf_dir):
+    path = _scratch(spark, "sheets")
+    sinks.write_topics(_slices(spark, sf_dir), path, ("room_type", "sentiment"))
+    return sinks.with_sheet_key(spark.read.parquet(path))
+
+
+@check(
+    "a13_replace_slice",
+    _SLICES_SQL + " SELECT room_type, sentiment, CASE sentiment WHEN 'SAD' THEN -n ELSE n END AS n FROM slices",
+)
+def a13_replace_slice(spark, sf_dir):
+    path = _scratch(spark, "sheets")
+    slices = _slices(spark, sf_dir)
+    sinks.write_topics(slices, path)
+    sinks.write_topics(slices.filter("sentiment = 'SAD'").withColumn("n", -F.col("n")), path, replace=True)
+    return spark.read.parquet(path)
+
+
 @check("g1_union_all", f"{_pages_sql(LAYOUT_ONE)} UNION ALL {_pages_sql(LAYOUT_TWO)}")
 def g1_union_all(spark, sf_dir):
     return merging.union_all(a7_extract_reviews(spark, sf_dir), a8_extract_reviews(spark, sf_dir))

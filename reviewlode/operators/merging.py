@@ -50,12 +50,14 @@ def merge_sources(
     small = counts.filter(F.col("n_rows") <= EXPAND_STEP)
     large = counts.filter(F.col("n_rows") > EXPAND_STEP)
     last = F.ceil(F.col("n_rows") / EXPAND_STEP) - 1
+    # A given number of tasks: blocks are tiny before they expand, so they must not be merged again.
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = (
         large.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
         .withColumn(
             "n_rows", F.least(F.lit(EXPAND_STEP), F.col("n_rows") - F.col("_block") * EXPAND_STEP)
         )
-        .repartition(*keys, "_block")
+        .repartition(tasks, *keys, "_block")
         .drop("_block")
     )
     copies = F.explode(F.array_repeat(F.lit(0), F.col("n_rows").cast("int")))
