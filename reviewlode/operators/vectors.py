@@ -76,12 +76,15 @@ def _vocabulary(
 
     The corpus is read once, to count terms as a table. The vectoriser then learns its vocabulary
     from that table, one term per row, so terms go from the executors to the model and nowhere else.
+    All terms tie there; one sorted partition (its size is checked) makes their order, and with it
+    every seeded fit, repeatable unless ``spark.default.parallelism`` spreads the count again.
     """
     n = df.count()
     vocabulary = land(doc_freq(df, terms, min_df, max_df, n), "vocabulary")
     check_vocab(vocabulary.count(), vocab_limit)
+    ordered = vocabulary.orderBy(F.desc("df"), "term").select(F.array("term").alias(terms))
     learner = CountVectorizer(inputCol=terms, outputCol="counts", vocabSize=vocab_limit)
-    return n, vocabulary, learner.fit(vocabulary.select(F.array("term").alias(terms)))
+    return n, vocabulary, learner.fit(ordered.coalesce(1))
 
 
 def check_vocab(size: int, vocab_limit: int = VOCAB_LIMIT) -> None:
