@@ -45,17 +45,23 @@ def remove_words(
     short = _short_list(stop, limit)
     if short is not None:
         return df.withColumn(tokens, X.keep_words(F.col(tokens), short))
-    listed = stop.select(F.col("word").alias("_w")).distinct().withColumn("_stop", F.lit(True))
-    exploded = words_of(df, tokens, key, "_pos", "_w")
-    flagged = lookup_join(exploded, listed, "_w", "left", spread_by=[key, "_pos"])
+    listed = land(stop.select(F.col("word").alias("_w")).distinct(), "stop")
+    placed = df.repartition(key)
+    exploded = words_of(placed, tokens, key, "_pos", "_w")
+    flagged = lookup_join(
+        exploded, listed.withColumn("_stop", F.lit(True)), "_w", "left", spread_by=[key, "_pos"]
+    )
     kept = flagged.filter(F.col("_stop").isNull())
-    return _put_back(df, kept, key, tokens, F.struct("_pos", "_w"), lambda t: t["_w"])
+    return _put_back(placed, kept, key, tokens, F.struct("_pos", "_w"), lambda t: t["_w"])
 
 
 def _put_back(
     df: DataFrame, rows: DataFrame, key: str, column: str, entry: Column, value: Callable
 ) -> DataFrame:
-    """Collect exploded entries of each row in order; rows without entries get an empty array."""
+    """Collect exploded entries of each row in order; rows without entries get an empty array.
+
+    ``df`` is placed by ``key``, so neither the collection nor the join moves its rows again.
+    """
     arrays = rows.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
     filled = F.transform(F.col("_entries"), value)
     others = [c for c in df.columns if c not in (key, column)]
@@ -76,9 +82,11 @@ def annotate(
     """``key, tokens``: each word with lemma and tag from the lexicon, in text order.
 
     Unknown words keep their text as lemma and get the tag ``X``. Texts without words give an empty
-    array. All words of a text leave one task, so collecting them again combines before the shuffle.
+    array. Texts are placed by key before they are split: a text is several times smaller than its
+    annotated words, which are then collected in the task that made them.
     """
-    tokens = df.select(key, F.explode_outer(X.tokenise(F.col(column))).alias("t")).select(
+    placed = df.select(key, column).repartition(key)
+    tokens = placed.select(key, F.explode_outer(X.tokenise(F.col(column))).alias("t")).select(
         key, "t.sent", "t.pos", F.col("t.text").alias("token")
     )
     entries = land(best_entries(lexicon), "lexicon")
@@ -159,10 +167,11 @@ def encode_tokens(
     df: DataFrame, vocab: DataFrame, tokens: str = "tokens", key: str = "review_id", name: str = "ids"
 ) -> DataFrame:
     """Replace tokens by vocabulary ids, in order; unknown tokens are dropped."""
-    exploded = words_of(df, tokens, key, "_pos")
+    placed = df.select(key, tokens).repartition(key)
+    exploded = words_of(placed, tokens, key, "_pos")
     ids = lookup_join(exploded, vocab.select("token", "id"), "token", "inner", spread_by=[key, "_pos"])
     entry = F.struct("_pos", F.col("id").cast("int").alias("id"))
-    return _put_back(df.select(key), ids, key, name, entry, lambda t: t["id"])
+    return _put_back(placed.select(key), ids, key, name, entry, lambda t: t["id"])
 
 
 def max_len(df: DataFrame, ids: str = "ids") -> DataFrame:

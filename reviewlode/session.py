@@ -35,16 +35,19 @@ def work_dir(spark: SparkSession) -> str:
 def land(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which cuts its lineage.
 
+    Tables lie in one folder per application, which can be removed when the application is over.
+
     Used where a plan is read several times or where a value depends on the physical layout: the
     table survives a lost executor, so every reader sees the same rows.
     """
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     if partition_by:
         # Rebalancing gives every folder a few files of even size and splits a folder's hot part.
         df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
     else:
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def fits_broadcast(

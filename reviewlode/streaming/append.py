@@ -25,11 +25,13 @@ def append_new_pages(
     out_path: str,
     name: str,
     max_files_per_batch: int = 1000,
+    progress_path: str | None = None,
 ) -> StreamingQuery:
     """Read page files that arrived since the last run and append their reviews.
 
-    The query stops when it has caught up. Its progress lives in the shared work folder under
-    ``name``, and the file sink commits each batch once, so a retried run adds no row twice.
+    The query stops when it has caught up. Its progress lives at ``progress_path``, by default in the
+    shared work folder under ``name``, and has to outlast the application. The file sink commits each
+    batch once, so a retried run adds no row twice.
     """
     pages = (
         spark.readStream.schema(PAGES)
@@ -40,7 +42,7 @@ def append_new_pages(
         extract_reviews(pages, rules)
         .writeStream.format("parquet")
         .option("path", out_path)
-        .option("checkpointLocation", f"{work_dir(spark)}/append-{name}")
+        .option("checkpointLocation", progress_path or f"{work_dir(spark)}/append-{name}")
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
