@@ -41,11 +41,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table whose files give fewer tasks than there are cores; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, spread when the file gives fewer tasks than there are cores."""
-    df = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, "doc_id") if df.rdd.getNumPartitions() < cores else df
+    return _spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(table(spark, sf_dir, "pages"), "page_id")
 
 
 def persian(c: Column) -> Column:

@@ -90,24 +90,24 @@ def a6_page_urls(spark, sf_dir):
 
 
 LAYOUT_ONE = P.PageRules(
-    container=r"<p\b[^>]*>",
+    container=r"<p\b[^<>]*>",
     text=r"(?s)\A(.*?)</p>",
     location=r'<html lang="(.*?)"',
-    heading=r"(?s)<h1\b[^>]*>(.*?)</h1>",
+    heading=r"(?s)<h1\b[^<>]*>(.*?)</h1>",
     heading_first_word=True,
     keep_empty=True,
 )
 LAYOUT_TWO = P.PageRules(
-    container=r"<p\b[^>]*>",
+    container=r"<p\b[^<>]*>",
     text=r"(?s)\A(.*?)</p>",
     location=r"(?s)<title>(.*?)</title>",
-    heading=r"(?s)<h1\b[^>]*>(.*?)</h1>",
+    heading=r"(?s)<h1\b[^<>]*>(.*?)</h1>",
     location_separator=" ",
 )
 
 
 def _html_text(c: str) -> str:
-    c = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
+    c = f"regexp_replace({c}, '<[^<>]*>', '', 'g')"
     for entity, sign in (
         ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"),
     ):
@@ -133,12 +133,12 @@ def _pages_sql(rules: P.PageRules) -> str:
 
 @check("a7_extract_reviews", _pages_sql(LAYOUT_ONE))
 def a7_extract_reviews(spark, sf_dir):
-    return P.extract_reviews(D.table(spark, sf_dir, "pages"), LAYOUT_ONE)
+    return P.extract_reviews(D.pages(spark, sf_dir), LAYOUT_ONE)
 
 
 @check("a8_extract_reviews", _pages_sql(LAYOUT_TWO))
 def a8_extract_reviews(spark, sf_dir):
-    return P.extract_reviews(D.table(spark, sf_dir, "pages"), LAYOUT_TWO)
+    return P.extract_reviews(D.pages(spark, sf_dir), LAYOUT_TWO)
 
 
 @check("a9_append_reviews", f"{_pages_sql(LAYOUT_ONE)} UNION ALL {_pages_sql(LAYOUT_TWO)}")
@@ -385,7 +385,7 @@ def c3_invert_mapping(spark, sf_dir):
     # Position of a group: its two letters as a number, so the alphabetically last group wins.
     order = F.ascii("group") * 256 + F.ascii(F.substring("group", 2, 1))
     pairs = D.documents(spark, sf_dir).select(F.col("lang").alias("group"), "source").distinct()
-    mapping = pairs.groupBy("group").agg(F.collect_set("source").alias("values"))
+    mapping = pairs.select("group", F.array("source").alias("values"))
     return grouping.invert_mapping(mapping.withColumn("position", order))
 
 

@@ -272,7 +272,7 @@ def d7_cluster_word_counts(spark, sf_dir):
 @check(
     "d8_concat_group",
     D.with_sql(_CLUSTERED_SQL)
-    + " SELECT cluster, doc_id // 1000 AS chunk, string_agg(text, ' ' ORDER BY doc_id) AS text "
+    + " SELECT cluster, doc_id // 100 AS chunk, string_agg(text, ' ' ORDER BY doc_id) AS text "
     "FROM clustered GROUP BY ALL",
 )
 def d8_concat_group(spark, sf_dir):

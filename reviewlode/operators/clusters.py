@@ -64,7 +64,7 @@ def concat_group(
     column: str = "comment",
     cluster: str = "cluster",
     key: str = "review_id",
-    rows_per_chunk: int = 1000,
+    rows_per_chunk: int = 100,
 ) -> DataFrame:
     """``cluster, chunk, text``: the comments of a cluster in id order, joined by blanks, in chunks.
 

@@ -31,6 +31,17 @@ def test_site_one(spark):
     assert [r.comment for r in rows] == ["عالی\n بود", "", "a & b"]
 
 
+def test_long_broken_pages(spark):
+    """Unclosed elements and stray signs over a long page neither fail nor hide its comments."""
+    filler = "<b x" * 10_000 + "ب" * 50_000
+    broken = PAGE_ONE.replace("</a>", filler).replace("</html>", filler)
+    rows = P.extract_reviews(frame(spark, broken), P.SITE_ONE).collect()
+    assert [r.comment for r in rows] == ["عالی\n بود", "", "a & b"]
+    assert {(r.location, r.room_type) for r in rows} == {("N/A", "ویلا")}
+    two = P.extract_reviews(frame(spark, PAGE_ONE.replace("<html>", "<a href='/province/0'>x</a>")), P.SITE_ONE)
+    assert two.first().location == "شیراز"
+
+
 def test_site_two(spark):
     rows = P.extract_reviews(frame(spark, PAGE_TWO, BARE), P.SITE_TWO).collect()
     assert [tuple(r) for r in rows] == [
