@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable
 
@@ -48,6 +49,20 @@ def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, max_rows=max_rows, max_bytes=16 * 1024 * 1024) else df
 
 
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove stored tables that no plan reads any more, and let go of finished shuffles.
+
+    Spark removes shuffle files when the driver collects the plans that made them, which a driver with
+    little to do may put off for long.
+    """
+    for stored in tables:
+        for file in stored.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def free(names: list[str], name: str) -> str:
     """``name``, with underscores added until it clashes with none of ``names``."""
     taken = {n.lower() for n in names}

@@ -28,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlode.llm.common import components, free, map_arrow, small
+from reviewlode.llm.common import components, discard, free, map_arrow, small
 from reviewlode.llm.shingles import set_keys, shingle_sets
 from reviewlode.session import fits_broadcast, land
 
 # Shingles held by more prefixes than this come last in the order, the most frequent first in the list;
 # both numbers steer speed only, since any fixed order gives the same links.
-COMMON_FROM = 8
-COMMON_LIST = 400_000
+COMMON_FROM = 1
+COMMON_LIST = 2_000_000
+# Share of a set, its lowest hashes, that is stored to rule out pairs before whole sets are read.
+LOW_PERCENT, LOW_LEAST = 30, 8
 
 
 def _map(docs: DataFrame, schema: str, make: Callable, *columns: str, as_lists: bool = True) -> DataFrame:
@@ -51,11 +53,17 @@ def _map(docs: DataFrame, schema: str, make: Callable, *columns: str, as_lists:
     return map_arrow(docs.select(*columns), run, schema)
 
 
-def _prefix(grams: np.ndarray, percent: int, common: np.ndarray | None = None) -> np.ndarray:
-    n = len(grams)
-    size = n + (percent * n // -100) + 1 if n else 0
-    if common is None or not len(common):
-        return grams[:size]
+def _size(n: int, percent: int) -> int:
+    """Length of a prefix: two sets alike by ``percent`` share one of these, under any fixed order."""
+    return n + (percent * n // -100) + 1 if n else 0
+
+
+def _low(n: int) -> int:
+    return LOW_PERCENT * n // 100 + LOW_LEAST
+
+
+def _prefix(grams: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    size = _size(len(grams), percent)
     at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
     late = common[at] == grams
     rare = grams[~late]
@@ -63,7 +71,7 @@ def _prefix(grams: np.ndarray, percent: int, common: np.ndarray | None = None) -
 
 
 def _sets(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """(id, n, a, b, prefix): size, two hashes and prefix in hash order of every row's set."""
+    """(id, n, a, b, low): size, two hashes and the lowest hashes of every row's set."""
 
     def make(ids: pa.Array, texts: list) -> list:
         sets = list(shingle_sets(texts, k))
@@ -73,11 +81,11 @@ def _sets(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFra
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array([x[0] for x in keys], pa.int64()),
             pa.array([x[1] for x in keys], pa.int64()),
-            pa.array([_prefix(s, percent).view(np.int64) for s in sets], pa.list_(pa.int64())),
+            pa.array([s[: max(_size(len(s), percent), _low(len(s)))].view(np.int64) for s in sets], pa.list_(pa.int64())),
         ]
 
     kind = docs.schema[key].dataType.simpleString()
-    return _map(docs, f"id {kind}, n bigint, a bigint, b bigint, prefix array<bigint>", make, key, text)
+    return _map(docs, f"id {kind}, n bigint, a bigint, b bigint, low array<bigint>", make, key, text)
 
 
 def _without_common(docs: DataFrame, key: str, text: str, k: int, percent: int, common: np.ndarray) -> DataFrame:
@@ -93,7 +101,7 @@ def _without_common(docs: DataFrame, key: str, text: str, k: int, percent: int,
 
 
 def _meets(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """(id, late): whether a stored prefix holds a common shingle."""
+    """(id, late): whether the lowest hashes hold a common shingle."""
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
     def make(ids: pa.Array, prefixes: pa.ListArray) -> list:
@@ -104,40 +112,86 @@ def _meets(rows: DataFrame, common: np.ndarray) -> DataFrame:
         return [ids, pa.array(np.diff(hits[np.concatenate(([0], ends))]) > 0)]
 
     kind = rows.schema["id"].dataType.simpleString()
-    return _map(rows, f"id {kind}, late boolean", make, "id", "prefix", as_lists=False)
+    return _map(rows, f"id {kind}, late boolean", make, "id", "low", as_lists=False)
 
 
 def _whole(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """(c, a, b, grams): whole sets."""
+
     def make(ids: pa.Array, texts: list) -> list:
-        sets = [s.view(np.int64) for s in shingle_sets(texts, k)]
-        return [ids, pa.array(sets, pa.list_(pa.int64()))]
+        sets = list(shingle_sets(texts, k))
+        keys = [set_keys(s) for s in sets]
+        return [
+            ids,
+            pa.array([x[0] for x in keys], pa.int64()),
+            pa.array([x[1] for x in keys], pa.int64()),
+            pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+        ]
 
     kind = docs.schema[key].dataType.simpleString()
-    return _map(docs, f"c {kind}, grams array<bigint>", make, key, text)
+    return _map(docs, f"c {kind}, a bigint, b bigint, grams array<bigint>", make, key, text)
 
 
-def _measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distances of label pairs (a, p): (a, p, ca, cp, both, any), by class; pairs beyond 2 r are left out.
+class _Distances:
+    """Exact Jaccard distances between classes, given pairs of labels.
 
-    Sizes alone rule out most pairs of unequal length before any set moves.
+    ``classes``: (a, b, c, n, low). Whole sets are read from the texts once, when a pair first needs them.
     """
-    near = 2 * percent - 100
-    sizes = sets.select("a", "c", "n")
-    pairs = pairs.join(sizes.toDF("a", "ca", "na"), "a").join(sizes.toDF("p", "cp", "np"), "p")
-    pairs = pairs.where(F.expr(f"ca <> cp and 100 * least(na, np) >= {near} * greatest(na, np)"))
-    grams = sets.select("c", "grams")
-    pairs = pairs.join(grams.toDF("ca", "left"), "ca").join(grams.toDF("cp", "right"), "cp")
-    both = F.size(F.array_intersect("left", "right")).cast("long")
-    pairs = pairs.select("a", "p", "ca", "cp", both.alias("both"), (F.col("na") + F.col("np")).alias("sum"))
-    pairs = pairs.select("a", "p", "ca", "cp", "both", (F.col("sum") - F.col("both")).alias("any"))
-    return pairs.where(F.expr(f"100 * both >= {near} * any"))
-
-
-def _join_regions(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, key: str, text: str, k: int, percent: int) -> None:
+        self.docs, self.classes, self.key, self.text, self.k, self.percent = docs, classes, key, text, k, percent
+        self.loaded: list[DataFrame] = []
+
+    def _load(self, pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("ca").alias("c")).union(pairs.select("cp")).distinct()
+        if self.loaded:
+            wanted = wanted.join(reduce(DataFrame.union, self.loaded).select("c"), "c", "left_anti")
+        wanted = land(wanted.join(self.classes.select("a", "b", "c"), "c"), "wanted")
+        if not wanted.isEmpty():
+            ids = _some(wanted.select(F.col("c").alias(self.key)))
+            texts = self.docs.select(self.key, self.text).join(ids, self.key, "left_semi")
+            rows = land(_whole(texts, self.key, self.text, self.k), "whole-rows")
+            rows = rows.join(_some(wanted), ["a", "b", "c"], "left_semi").select("c", "grams")
+            if not rows.groupBy("c").count().where("count > 1").isEmpty():  # repeated rows of one id
+                rows = land(rows.dropDuplicates(["c"]), "whole-rows")
+            self.loaded.append(rows)
+        return reduce(DataFrame.union, self.loaded) if self.loaded else None
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """(a, p, ca, cp, both, any) of the label pairs (a, p) within 2 r; the others are left out.
+
+        Sizes rule out pairs first. Then the lowest hashes do: what two sets differ by within any range of
+        hashes is at most what they differ by as a whole.
+        """
+        near = 2 * self.percent - 100
+        names = [f.name for f in pairs.schema.fields]
+        sizes = self.classes.select("a", "c", "n")
+        pairs = pairs.join(sizes.toDF("a", "ca", "na"), "a").join(sizes.toDF("p", "cp", "np"), "p")
+        pairs = pairs.where(F.expr(f"ca <> cp and 100 * least(na, np) >= {near} * greatest(na, np)"))
+        low = self.classes.select("c", "low")
+        tried = pairs.join(low.toDF("ca", "left"), "ca").join(low.toDF("cp", "right"), "cp")
+        upto = "least(element_at(left, -1), element_at(right, -1))"
+        tried = tried.withColumn("upto", F.expr(upto))
+        inside = "size(filter({0}, x -> x <= upto))"
+        apart = f"{inside.format('left')} + {inside.format('right')} - 2 * size(array_intersect(left, right))"
+        tried = tried.where(F.expr(f"({apart}) * {100 + near} <= {100 - near} * (na + np)"))
+        kept = land(tried.select(*names, "ca", "cp", "na", "np"), "tried")
+        whole = self._load(kept)
+        if whole is None:
+            return kept.select(*names, "ca", "cp", F.col("na").alias("both"), F.col("np").alias("any"))
+        kept = kept.join(whole.toDF("ca", "left"), "ca").join(whole.toDF("cp", "right"), "cp")
+        both = F.size(F.array_intersect("left", "right")).cast("long")
+        kept = kept.select(*names, "ca", "cp", both.alias("both"), (F.col("na") + F.col("np")).alias("sum"))
+        kept = kept.select(*names, "ca", "cp", "both", (F.col("sum") - F.col("both")).alias("any"))
+        return kept.where(F.expr(f"100 * both >= {near} * any"))
+
+
+def _join_regions(regions: DataFrame, distances: _Distances, percent: int) -> DataFrame:
     """(node, root) of every class id with a link. ``regions``: (g, a)."""
+    sets = distances.classes
     n_labels = sets.groupBy("a").agg(F.count(F.lit(1)).alias("classes"))
     twins = n_labels.where("classes > 1").select("a", F.col("a").alias("p"))
-    found = [_measure(twins, sets, percent)]  # different sets under one label
+    found = [land(distances.near(twins), "distances")]  # different sets under one label
     cells, windows = [], []
     n_pivots = 1
     while True:
@@ -149,7 +203,7 @@ def _join_regions(regions: DataFrame, sets: DataFrame, percent: int) -> DataFram
             break
         rows = land(regions.join(pivots, "g").where("a <> p"), "region-pairs")
         ordered = rows.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("p")).distinct()
-        near = land(_measure(ordered, sets, percent), "distances")
+        near = land(distances.near(ordered), "distances")
         found.append(near)
         linked = F.expr(f"100 * both >= {percent} * any")
         # A label stands for one set but for hash collisions; then all of its sets must be within r.
@@ -182,7 +236,7 @@ def _join_regions(regions: DataFrame, sets: DataFrame, percent: int) -> DataFram
     cell = reduce(DataFrame.union, cells)
     rest = cell.join(window.select("g", "p", "y"), ["g", "p"]).where("a <> y")
     rest = rest.select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("p")).distinct()
-    more = _measure(land(rest, "window-pairs"), sets, percent).where(F.expr(f"100 * both >= {percent} * any"))
+    more = distances.near(land(rest, "window-pairs")).where(F.expr(f"100 * both >= {percent} * any"))
     more = land(more.select("ca", "cp"), "window-links")
     return roots if more.isEmpty() else components(links.union(more))
 
@@ -191,9 +245,10 @@ def _some(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if fits_broadcast(ids) else ids
 
 
-def _common(firsts: DataFrame) -> np.ndarray:
+def _common(firsts: DataFrame, percent: int) -> np.ndarray:
     """The most frequent shingles of all prefixes, at most ``COMMON_LIST``, sorted."""
-    counts = firsts.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    prefix = F.expr(f"explode(slice(low, 1, cast(n + 1 - ceil({percent} * n / 100) as int)))")
+    counts = firsts.select(prefix.alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     counts = land(counts.where(F.col("n") > COMMON_FROM), "common")
     steps = counts.groupBy(F.floor(4 * F.log2("n")).alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()
     least, total = None, 0
@@ -210,18 +265,25 @@ def _common(firsts: DataFrame) -> np.ndarray:
 
 def _regions(docs: DataFrame, firsts: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """(g, a): which sets share a shingle of their prefixes."""
-    common = _common(firsts)
-    prefixes = firsts.select("a", "prefix")
+    spark = docs.sparkSession
+    common = _common(firsts, percent)
+    discard(spark)
+    prefix = F.expr(f"slice(low, 1, cast(n + 1 - ceil({percent} * n / 100) as int))").alias("prefix")
+    prefixes = firsts.select("a", prefix)
+    stored = []
     if len(common):
         late = land(_meets(firsts, common), "late")
-        early = firsts.join(_some(late.where("not late").select("id")), "id", "left_semi")
+        early = _some(late.where("not late").select(F.col("id").alias("e")))
+        early = firsts.join(early, F.col("id") == F.col("e"), "left_semi")
         again = _some(late.where("late").select(F.col("id").alias(key)))
         again = docs.select(key, text).join(again, key, "left_semi")
-        again = land(_without_common(again, key, text, k, percent, common), "prefixes")
-        prefixes = early.select("a", "prefix").union(again)
+        stored = [land(_without_common(again, key, text, k, percent, common), "prefixes")]
+        prefixes = early.select("a", prefix).union(stored[0])
     entries = prefixes.select(F.explode("prefix").alias("g"), "a")
-    shared = entries.groupBy("g").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high")
-    return land(entries.join(shared.select("g"), "g").distinct(), "regions")
+    shared = entries.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    regions = land(entries.join(shared, "g").distinct(), "regions")
+    discard(spark, *stored)
+    return regions
 
 
 def jaccard_components(
@@ -238,16 +300,17 @@ def jaccard_components(
     per_row = land(_sets(docs, key, text, k, percent), "sets")
     classes = per_row.where("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("c"))
     classes = land(classes, "classes")
-    first = _some(classes.select(F.col("c").alias("id")))
-    firsts = per_row.join(first, "id", "left_semi").where("n > 0")
+    first = _some(classes.select(F.col("c").alias("id"), "a", "b"))
+    firsts = per_row.join(first, ["id", "a", "b"], "left_semi").where("n > 0")
     regions = _regions(docs, firsts, key, text, k, percent)
     needed = classes.join(regions.select("a").distinct(), "a", "left_semi").where(F.col("c").isNotNull())
+    low = per_row.select(F.col("id").alias("c"), "a", "b", "low")
+    needed = low.join(_some(needed), ["c", "a", "b"])
+    # Repeated rows of one id have the same set.
     needed = land(needed, "needed")
-    ids = _some(needed.select(F.col("c").alias(key)))
-    whole = _whole(docs.select(key, text).join(ids, key, "left_semi"), key, text, k)
-    whole = whole.groupBy("c").agg(F.first("grams").alias("grams"))
-    sets = land(needed.join(whole, "c"), "whole-sets")
-    roots = _join_regions(regions, sets, percent)
+    if not needed.groupBy("c").count().where("count > 1").isEmpty():
+        needed = land(needed.dropDuplicates(["c", "a", "b"]), "needed")
+    roots = _join_regions(regions, _Distances(docs, needed, key, text, k, percent), percent)
     named = classes.join(small(roots.withColumnRenamed("node", "c")), "c", "left")
     named = land(named.select("a", "b", "n", F.coalesce("root", "c").alias("component_id")), "named")
     out = per_row.join(small(named), ["a", "b", "n"], "left")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reviewlode.llm import jaccard_join
-from reviewlode.llm.common import table
+from reviewlode.llm import jaccard_join, mixing, quality_rules, rule_classifier
+from reviewlode.llm.common import doc_hash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +18,34 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document in a mix of all sources."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, statistics and verdict of every document."""
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = rule_classifier.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.pmod(doc_hash(F.col("doc_id")), F.lit(3)) == 1
+    scored = rule_classifier.classify(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_mixing,
+        op6_quality_rules,
+        op10_quality_classifier,
+    )
 }
 
 SQL: dict[str, str] = {}

@@ -1,4 +1,4 @@
-"""Distinct word shingles of whole texts as sorted 64-bit hashes, for batches of texts."""
+"""Distinct word shingles of whole texts as sorted 63-bit hashes, for batches of texts."""
 
 from __future__ import annotations
 
@@ -60,7 +60,7 @@ def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
 def shingle_sets(texts: list[str | None], k: int = 5) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of the ``k``-word shingles of every text.
 
-    Fewer than ``k`` words give one shingle of all words; no word, or null, gives an empty set.
+    Fewer than ``k`` words give one shingle of all words; no word, or null, gives an empty set. Hashes are below 2**63, so signed numbers keep their order.
     """
     encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     weight = VALUE[1 : k + 1]
@@ -72,13 +72,13 @@ def shingle_sets(texts: list[str | None], k: int = 5) -> Iterator[np.ndarray]:
         grams = np.zeros(n, np.uint64)
         for j in range(k):
             grams += hashes[j : j + n] * weight[j]
-        grams = mix(grams)
+        grams = mix(grams) >> np.uint64(1)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if b - a >= k:
                 yield np.unique(grams[a : b - k + 1])
             elif b > a:
                 whole = (hashes[a:b] * weight[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
-                yield mix(np.array([whole], np.uint64))
+                yield mix(np.array([whole], np.uint64)) >> np.uint64(1)
             else:
                 yield np.empty(0, np.uint64)
 
