@@ -17,10 +17,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 COMPONENT_ROUNDS = 60
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow``; workers look for this package where the driver has it, or as it was shipped."""
+def workers_find_package(spark: SparkSession) -> None:
+    """Let Python workers look for this package where the driver has it, or as it was shipped."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(reviewlode.__file__)))
-    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", root)
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with workers that find this package."""
+    workers_find_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

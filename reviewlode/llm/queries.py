@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlode.llm import jaccard_join, mixing, quality_rules, rule_classifier
-from reviewlode.llm.common import doc_hash, table
+from reviewlode.llm import (
+    embedding_dedup,
+    jaccard_join,
+    license_scan,
+    lm_scoring,
+    mixing,
+    packing,
+    quality_rules,
+    rule_classifier,
+    sharding,
+    token_rollups,
+)
+from reviewlode.llm.common import doc_hash, n_words, table
+from reviewlode.session import work_dir
+
+# Runs of letters or digits, and single marks.
+TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +40,73 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under a context tree and under word counts."""
+    docs = table(spark, sf_dir, "documents")
+    scored = lm_scoring.score(docs)
+    return scored.withColumn("held_out", lm_scoring.held_out("doc_id"))
+
+
+def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after all documents came in, were counted again by a new tokenizer version, and short ones went.
+
+    Every batch is committed twice, which must not change a total.
+    """
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    new = F.regexp_count(text, F.lit(TOKEN)).cast("long")
+    rows = docs.select(
+        "source", "lang", n_words(text).alias("n"), new.alias("m"), F.octet_length(text).cast("long").alias("n_bytes")
+    )
+
+    def changes(op: str, tokenizer: str, n: str, old: str | None = None, old_n: str | None = None) -> DataFrame:
+        before = {
+            "old_source": F.col("source"),
+            "old_lang": F.col("lang"),
+            "old_tokenizer": F.lit(old),
+            "old_n_tokens": F.col(old_n) if old_n else F.lit(0),
+            "old_n_bytes": F.col("n_bytes") if old else F.lit(0),
+        }
+        now = rows.withColumns(before)
+        return now.withColumn("op", F.lit(op)).withColumn("tokenizer", F.lit(tokenizer)).withColumn("n_tokens", F.col(n))
+
+    rollup = token_rollups.Rollup(spark, f"{work_dir(spark)}/{spark.sparkContext.applicationId}/rollup-{uuid.uuid4().hex}")
+    batches = {
+        "1-insert": changes("insert", "words-1", "n"),
+        "2-revise": changes("revise", "marks-2", "m", "words-1", "n"),
+        "3-delete": changes("delete", "marks-2", "m").where("n < 10"),
+    }
+    for name in [*batches, *batches]:
+        rollup.commit(name, batches[name])
+    return rollup.totals()
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and place of every piece of every document."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its path being source, language and a place in a tree of folders."""
+    docs = table(spark, sf_dir, "documents")
+    # Two levels of folders, as many as the documents ask for.
+    place = F.expr("concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), doc_id div 1000, doc_id div 20 % 50, doc_id)")
+    return license_scan.scan(docs.select("doc_id", "text", place.alias("path")))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and verdict of every vector."""
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document after a global shuffle."""
+    shuffled = sharding.shard_rows(table(spark, sf_dir, "documents"))
+    return shuffled.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, statistics and verdict of every document."""
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
@@ -43,9 +126,28 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_ngram_jaccard_join,
         op2_mixing,
+        op3_lm_scoring,
+        op4_token_rollups,
+        op5_best_fit_packing,
         op6_quality_rules,
+        op7_license_scan,
+        op8_embedding_dedup,
+        op9_sharding,
         op10_quality_classifier,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_token_rollups": rf"""
+        with counted as (
+            select source, lang, coalesce(text, '') as t from documents
+        ), kept as (
+            select source, lang, t from counted
+            where len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) >= 10
+        )
+        select source, lang, 'marks-2' as tokenizer, count(*) as n_docs,
+            cast(sum(len(regexp_extract_all(t, '{TOKEN}'))) as bigint) as n_tokens,
+            cast(sum(strlen(t)) as bigint) as n_bytes
+        from kept group by source, lang
+    """,
+}
