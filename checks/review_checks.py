@@ -107,6 +107,8 @@ LAYOUT_TWO = P.PageRules(
 
 
 def _html_text(c: str) -> str:
+    c = f"regexp_replace({c}, '[ \\t\\r\\n\\f]+', ' ', 'g')"
+    c = f"regexp_replace({c}, '(?i) ?<(?:br|/p|/div|/li)\\b[^<>]*> ?', chr(10), 'g')"
     c = f"regexp_replace({c}, '<[^<>]*>', '', 'g')"
     for entity, sign in (
         ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"),
@@ -136,6 +138,68 @@ def a7_extract_reviews(spark, sf_dir):
     return P.extract_reviews(D.pages(spark, sf_dir), LAYOUT_ONE)
 
 
+# --- the two layouts, built from titles and addresses, whose texts are known without any pattern of a layout
+
+_TITLE = r"trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \t\r\n\f]+', ' ', 'g'))"
+
+
+def _known_sql(title: str, kept: str) -> str:
+    return f"""SELECT page_id AS page, t AS location, {title} AS room_type, comment FROM (
+        SELECT page_id, t, unnest([t || chr(10) || url || ' & <' || t || '>', '', 'خوب' || chr(8204) || 'تر ' || t || ' é']) AS comment
+        FROM (SELECT page_id, url, {_TITLE} AS t FROM pages)) {kept}"""
+
+
+def _layout(spark, sf_dir, page, comment):
+    """Pages of one layout: titles and addresses escaped, with tags, breaks and references in between."""
+    title = F.trim(F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "[ \\t\\r\\n\\f]+", " "))
+
+    def escaped(c):
+        for sign, reference in (("&", "&#x26;"), ("<", "&lt;"), ("é", "&#233;"), (" ", " \n ")):
+            c = F.replace(c, F.lit(sign), F.lit(reference))
+        return c
+
+    t, url = escaped(title), escaped(F.col("url"))
+    bodies = [
+        F.concat(F.lit("<b>"), t, F.lit("</b><BR/>"), url, F.lit(" &amp; &lt;<i><u>"), t, F.lit("</u></i>&gt;")),
+        F.lit("<span></span>"),
+        F.concat(F.lit("خوب&zwnj;<em>تر</em>&nbsp;"), t, F.lit(" &#xe9;")),
+    ]
+    blocks = F.concat(*[part for body in bodies for part in (F.lit(comment[0]), body, F.lit(comment[1]))])
+    html = F.concat(*[{"T": t, "C": blocks}.get(x, F.lit(x)) for x in page])
+    return D.pages(spark, sf_dir).select("page_id", "url", html.alias("html"))
+
+
+@check("a7_site_one", _known_sql(f"regexp_extract(t, '{D.WORD}')", ""))
+def a7_site_one(spark, sf_dir):
+    page = (
+        '<html><a class="y" href="/province/1"><i></i><span itemprop="name"> ', "T", "</span></a>"
+        '<h1 class="my-Typography_h1__JESPs text-Asphalt">no</h1>'
+        "<h1 id=1 class='big text-Asphalt  Typography_h1__JESPs'><span></span> <em>", "T", "</em></h1>", "C", "</html>",
+    )
+    comment = (
+        '<div class="Comments_commentBody__Tl_lO"><p class="other">no</p>'
+        "<p class='text-justify Typography_caption3__epLLG text-Charcoal'>",
+        '</p><p class="Typography_caption3__epLLG text-Charcoal text-justify">second</p></div>'
+        '<div class="Comments_commentBody__Tl_lO-x">no</div>',
+    )
+    return P.extract_reviews(_layout(spark, sf_dir, page, comment), P.SITE_ONE)
+
+
+@check("a8_site_two", _known_sql("t", "WHERE comment <> ''"))
+def a8_site_two(spark, sf_dir):
+    page = (
+        '<html><p class="comment-card__text">outside</p><em class="city-province">no</em>'
+        '<strong class="city-province"> x، ', "T", "</strong>"
+        "<h2 class='a pdp-host-info-content__title'><b>", "T", "</b></h2>", "C", "</html>",
+    )
+    comment = (
+        '<div class="comment-card__content"><div class="comment-card__text">no</div>'
+        '<p class="my-comment-card__text">no</p><p class="comment-card__text">',
+        "</p></div>",
+    )
+    return P.extract_reviews(_layout(spark, sf_dir, page, comment), P.SITE_TWO)
+
+
 @check("a8_extract_reviews", _pages_sql(LAYOUT_TWO))
 def a8_extract_reviews(spark, sf_dir):
     return P.extract_reviews(D.pages(spark, sf_dir), LAYOUT_TWO)

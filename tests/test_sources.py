@@ -28,7 +28,7 @@ def frame(spark, *pages):
 def test_site_one(spark):
     rows = P.extract_reviews(frame(spark, PAGE_ONE, "<html></html>"), P.SITE_ONE).collect()
     assert [(r.page, r.location, r.room_type) for r in rows] == [(0, "شیراز", "ویلا")] * 3
-    assert [r.comment for r in rows] == ["عالی\n بود", "", "a & b"]
+    assert [r.comment for r in rows] == ["عالی بود", "", "a & b"]
 
 
 def test_long_broken_pages(spark):
@@ -36,7 +36,7 @@ def test_long_broken_pages(spark):
     filler = "<b x" * 10_000 + "ب" * 50_000
     broken = PAGE_ONE.replace("</a>", filler).replace("</html>", filler)
     rows = P.extract_reviews(frame(spark, broken), P.SITE_ONE).collect()
-    assert [r.comment for r in rows] == ["عالی\n بود", "", "a & b"]
+    assert [r.comment for r in rows] == ["عالی بود", "", "a & b"]
     assert {(r.location, r.room_type) for r in rows} == {("N/A", "ویلا")}
     two = P.extract_reviews(frame(spark, PAGE_ONE.replace("<html>", "<a href='/province/0'>x</a>")), P.SITE_ONE)
     assert two.first().location == "شیراز"
@@ -50,6 +50,32 @@ def test_site_two(spark):
     ]
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("خوب <b>تمیز</b> آرام", "خوب تمیز آرام"),
+        ("می&zwnj;روم<br>عالی &#1705;", "می\u200cروم\nعالی ک"),
+        ("&amp;lt; &#38;lt; &#x26;amp; &#0; &#xD800; &#99999999;", "&lt; &lt; &amp; \ufffd \ufffd &#99999999;"),
+        (" a \n\t b <BR /> c<div>d</div>e ", "a b\nc" + "d\ne"),
+        (None, None),
+    ],
+)
+def test_visible_text(spark, html, text):
+    df = spark.createDataFrame([(html,)], "html string")
+    assert df.select(P.html_text(F.col("html")).alias("x")).first().x == text
+
+
+def test_inner_tags_and_class_names(spark):
+    inner = PAGE_ONE.replace("عالی\n بود", "خوب <b>تمیز</b> آرام").replace("ویلا در", "<span></span>ویلا")
+    rows = P.extract_reviews(frame(spark, inner), P.SITE_ONE).collect()
+    assert rows[0].comment == "خوب تمیز آرام" and rows[0].room_type == "ویلا"
+    other = BARE.replace('"comment-card__text"', '"my-comment-card__text"')
+    assert P.extract_reviews(frame(spark, other), P.SITE_TWO).count() == 0
+    single = BARE.replace('"', "'")
+    assert P.extract_reviews(frame(spark, single), P.SITE_TWO).first().comment == "تنها"
+    assert P.extract_reviews(frame(spark, '<p class="comment-card__text">x</p>'), P.SITE_TWO).count() == 0
+
+
 def test_csv_dialect(spark, tmp_path):
     path = tmp_path / "r.csv"
     path.write_text(
