@@ -144,17 +144,20 @@ def _lexicon(texts: DataFrame, lemma: str, tag: str) -> DataFrame:
     return words.select("token", F.expr(lemma).alias("lemma"), F.expr(tag).alias("upos"), "freq")
 
 
-def reviews_fa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``review_id, room_type, comment, sentiment``: Persian comments, the language as room type."""
+def reviews_fa(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
+    """``review_id, room_type, comment, sentiment``: Persian comments, the language as room type.
+
+    Unless only ``labelled`` ones are asked for, all documents are there, some without a sentiment.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return (
         documents(spark, sf_dir)
-        .join(labels, "doc_id")
+        .join(labels, "doc_id", "inner" if labelled else "left")
         .select(
             F.col("doc_id").alias("review_id"),
             F.col("lang").alias("room_type"),
             persian(F.lower("text")).alias("comment"),
-            F.expr("CASE quality WHEN 1 THEN 'HAPPY' ELSE 'SAD' END").alias("sentiment"),
+            F.expr("CASE quality WHEN 1 THEN 'HAPPY' WHEN 0 THEN 'SAD' END").alias("sentiment"),
         )
     )
 
@@ -162,8 +165,9 @@ def reviews_fa(spark: SparkSession, sf_dir: str) -> DataFrame:
 REVIEWS_FA_SQL = f"""
 documents_lower AS (SELECT doc_id, lang, translate(lower(text), '{LATIN}', '{PERSIAN}') AS text FROM documents),
 reviews_fa AS (SELECT d.doc_id, d.lang AS room_type, d.text AS comment,
-    CASE quality WHEN 1 THEN 'HAPPY' ELSE 'SAD' END AS sentiment
+    CASE quality WHEN 1 THEN 'HAPPY' WHEN 0 THEN 'SAD' END AS sentiment
   FROM documents_lower d JOIN labels l ON l.doc_id = d.doc_id)"""
+ALL_FA_SQL = REVIEWS_FA_SQL.replace("JOIN labels", "LEFT JOIN labels")
 
 
 def tokens_sql(source: str, key: str, column: str, name: str = "toks", carry: str = "") -> str:

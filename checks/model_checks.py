@@ -218,14 +218,15 @@ def i12_score_texts(spark, sf_dir):
 # --- topics ----------------------------------------------------------------------------------
 
 
-def _stop(spark, sf_dir):
-    rows = D.reviews_fa(spark, sf_dir)
+def _stop(spark, sf_dir, labelled=True):
+    rows = D.reviews_fa(spark, sf_dir, labelled)
     return D.stop_list(rows, X.words(F.col("comment")))
 
 
 def _texts(spark, sf_dir, **how):
-    """Persian reviews with their comment reduced to cleaned phrases."""
-    return topics.topic_texts(D.reviews_fa(spark, sf_dir), D.lexicon_fa(spark, sf_dir), _stop(spark, sf_dir), **how)
+    """All documents as Persian comments, reduced to cleaned phrases."""
+    rows, stop = D.reviews_fa(spark, sf_dir, labelled=False), _stop(spark, sf_dir, labelled=False)
+    return topics.topic_texts(rows, D.lexicon_fa(spark, sf_dir), stop, **how)
 
 
 def _texts_sql(phrase_sql: str, mapped: bool, keep_empty: bool, min_words: int) -> str:
@@ -234,7 +235,7 @@ def _texts_sql(phrase_sql: str, mapped: bool, keep_empty: bool, min_words: int)
     rows = f"rows AS (SELECT * FROM reviews_fa WHERE len({D.sql_words('comment')}) >= {min_words})"
     return (
         D.with_sql(
-            D.REVIEWS_FA_SQL,
+            D.ALL_FA_SQL,
             D.stop_sql("reviews_fa", D.sql_words("comment")),
             rows,
             D.annotated_sql("rows", "doc_id", "comment", D.LEXICON_FA_SQL),
@@ -355,7 +356,11 @@ def i19_embed_texts(spark, sf_dir):
 
 @check("i20_cluster_report")
 def i20_cluster_report(spark, sf_dir):
-    vectors_table = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("review_id"), "embedding")
+    # Every document gets one of the given vectors, in turn.
+    given = D.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    ids = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"))
+    turn = F.pmod("review_id", F.lit(given.count())).alias("vec_id")
+    vectors_table = ids.select("review_id", turn).join(given, "vec_id").select("review_id", "embedding")
     report = themes.cluster_report(
         D.reviews_fa(spark, sf_dir),
         D.lexicon_fa(spark, sf_dir),

@@ -232,14 +232,14 @@ def a10_write_table(spark, sf_dir):
 
 def _slices(spark, sf_dir):
     """Counts per room type and sentiment, as a stand-in for a topic table."""
-    rows = D.reviews(spark, sf_dir).filter("sentiment IS NOT NULL AND room_type <> ''")
+    rows = D.reviews(spark, sf_dir).filter("sentiment IS NOT NULL")
     return rows.groupBy("room_type", "sentiment").agg(F.count(F.lit(1)).alias("n"))
 
 
 _SLICES_SQL = (
     D.with_sql(D.REVIEWS_SQL)
     + ", slices AS (SELECT room_type, sentiment, count(*) AS n FROM reviews "
-    "WHERE sentiment IS NOT NULL AND room_type <> '' GROUP BY ALL)"
+    "WHERE sentiment IS NOT NULL GROUP BY ALL)"
 )
 
 
@@ -247,14 +247,14 @@ _SLICES_SQL = (
 def a11_write_by_sentiment(spark, sf_dir):
     path = _scratch(spark, "sheets")
     sinks.write_topics(_slices(spark, sf_dir), path)
-    return spark.read.parquet(path)
+    return sinks.read_topics(spark, path)
 
 
 @check("a12_write_by_group", _SLICES_SQL + " SELECT *, room_type || '_' || sentiment AS sheet FROM slices")
 def a12_write_by_group(spark, sf_dir):
     path = _scratch(spark, "sheets")
     sinks.write_topics(_slices(spark, sf_dir), path, ("room_type", "sentiment"))
-    return sinks.with_sheet_key(spark.read.parquet(path))
+    return sinks.with_sheet_key(sinks.read_topics(spark, path))
 
 
 @check(
@@ -266,7 +266,7 @@ def a13_replace_slice(spark, sf_dir):
     slices = _slices(spark, sf_dir)
     sinks.write_topics(slices, path)
     sinks.write_topics(slices.filter("sentiment = 'SAD'").withColumn("n", -F.col("n")), path, replace=True)
-    return spark.read.parquet(path)
+    return sinks.read_topics(spark, path)
 
 
 @check("g1_union_all", f"{_pages_sql(LAYOUT_ONE)} UNION ALL {_pages_sql(LAYOUT_TWO)}")
@@ -274,6 +274,17 @@ def g1_union_all(spark, sf_dir):
     return merging.union_all(a7_extract_reviews(spark, sf_dir), a8_extract_reviews(spark, sf_dir))
 
 
+@check(
+    "b10_normalise_names",
+    "SELECT r_regionkey AS region_key, r_name AS region_name FROM region",
+)
+def b10_normalise_names(spark, sf_dir):
+    rows = D.table(spark, sf_dir, "region").select(
+        F.col("r_regionkey").alias(" Region Key"), F.col("r_name").alias("REGION name ")
+    )
+    return readers.normalise_names(rows)
+
+
 # --- filters and projections --------------------------------------------------------------------
 
 

@@ -122,13 +122,20 @@ def h19_clean_lemma(spark, sf_dir):
 
 @check(
     "h22_pad_left",
-    "SELECT doc_id AS review_id, array_to_string(CASE WHEN len(t) >= 200 "
-    "THEN list_slice(t, len(t) - 199, len(t)) "
-    "ELSE list_concat(list_transform(range(200 - len(t)), lambda x: 0), t) END, ',') AS value "
-    f"FROM (SELECT doc_id, list_transform({D.sql_words('text')}, lambda w: length(w)) AS t FROM documents)",
+    # Every row has the longest length; zeros are all in front, as words have letters.
+    "SELECT doc_id AS review_id, m AS length, m - len(t) AS zeros, "
+    "CAST(coalesce(list_sum(list_transform(t, lambda x, i: x * (i + m - len(t)))), 0) AS BIGINT) AS checksum "
+    "FROM (SELECT *, max(len(t)) OVER () AS m FROM "
+    f"(SELECT doc_id, list_transform({D.sql_words('text')}, lambda w: length(w)) AS t FROM documents))",
 )
 def h22_pad_left(spark, sf_dir):
     lengths = F.transform(X.words(F.col("text")), lambda w: F.length(w))
     rows = D.documents(spark, sf_dir).select(F.col("doc_id").alias("review_id"), lengths.alias("ids"))
-    padded = T.pad_sequences(rows, "ids", 200)
-    return padded.select("review_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("value"))
+    padded = T.pad_sequences(rows, "ids")
+    placed = F.transform("ids", lambda x, i: x.cast("long") * (i + 1))
+    return padded.select(
+        "review_id",
+        F.size("ids").cast("long").alias("length"),
+        F.size(F.filter("ids", lambda x: x == 0)).cast("long").alias("zeros"),
+        F.aggregate(placed, F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum"),
+    )

@@ -297,9 +297,3 @@ def params_json(params: dict) -> Column:
 def hash_key(key: Column, seed: int = 42) -> Column:
     """Hex digest of a row id: uniform, and the same on every run and every partitioning."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
-
-
-def hash_bucket(key: Column, buckets: int, seed: int = 42) -> Column:
-    """Bucket ``0..buckets-1`` from the first 32 bits of :func:`hash_key`."""
-    head = F.conv(F.substring(hash_key(key, seed), 1, 8), 16, 10).cast("long")
-    return F.pmod(head, F.lit(buckets)).cast("int")

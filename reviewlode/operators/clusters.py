@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewlode.functions import text as X
 from reviewlode.operators.vectors import fit_word_vectors
-from reviewlode.session import for_training
+from reviewlode.session import for_training, land
 
 
 def embed(
@@ -30,9 +30,10 @@ def embed(
 def cluster(
     df: DataFrame, vector: str = "embedding", k: int = 6, seed: int = 42, name: str = "cluster"
 ) -> tuple[DataFrame, KMeansModel]:
-    """K-means; every row gets its cluster id."""
+    """K-means; every row gets its cluster id. The rows are stored once, as they are read three times."""
+    df = land(df, "points")
     points = df.withColumn("_point", array_to_vector(F.col(vector)))
-    training = for_training(points.select("_point"), points.count()).persist()
+    training = for_training(points.select("_point"), df.count()).persist()
     try:
         model = KMeans(featuresCol="_point", predictionCol=name, k=k, seed=seed).fit(training)
     finally:
@@ -71,7 +72,7 @@ def concat_group(
     A cluster may hold most of the table, so its text is not one value. A chunk covers a range of
     ids, at most ``rows_per_chunk`` comments; reading chunks in order gives the whole text.
     """
-    chunk = F.floor(F.col(key) / rows_per_chunk)
+    chunk = F.expr(f"`{key}` div {rows_per_chunk}")
     entries = F.array_sort(F.collect_list(F.struct(key, column)))
     return (
         df.filter(F.col(column).isNotNull())

@@ -37,7 +37,7 @@ def word_list(words: DataFrame, limit: int = STOP_LITERALS) -> list[str]:
 def remove_words(
     df: DataFrame, tokens: str, stop: DataFrame, key: str = "review_id", limit: int = STOP_LITERALS
 ) -> DataFrame:
-    """Drop stop words from an array column; order and duplicates of kept words stay.
+    """Drop stop words from an array column; order and duplicates of kept words stay, null stays null.
 
     A short list becomes a set inside the expression. A long one is joined to the exploded words,
     with frequent words spread over tasks, and the rest is put back in order per row.
@@ -46,28 +46,22 @@ def remove_words(
     if short is not None:
         return df.withColumn(tokens, X.keep_words(F.col(tokens), short))
     listed = land(stop.select(F.col("word").alias("_w")).distinct(), "stop")
-    placed = df.repartition(key)
-    exploded = words_of(placed, tokens, key, "_pos", "_w")
+    # Stored row numbers tell rows apart whose keys are null or equal.
+    placed = land(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    exploded = words_of(placed, tokens, "_row", "_pos", "_w")
     flagged = lookup_join(
-        exploded, listed.withColumn("_stop", F.lit(True)), "_w", "left", spread_by=[key, "_pos"]
+        exploded, listed.withColumn("_stop", F.lit(True)), "_w", "left", spread_by=["_row", "_pos"]
     )
     kept = flagged.filter(F.col("_stop").isNull())
-    return _put_back(placed, kept, key, tokens, F.struct("_pos", "_w"), lambda t: t["_w"])
+    arrays = kept.groupBy("_row").agg(_in_order(F.struct("_pos", "_w"), "_w").alias("_kept"))
+    empty = F.array().cast(df.schema[tokens].dataType)
+    left = F.when(F.col(tokens).isNotNull(), F.coalesce("_kept", empty))
+    return placed.join(arrays, "_row", "left").withColumn(tokens, left).select(*df.columns)
 
 
-def _put_back(
-    df: DataFrame, rows: DataFrame, key: str, column: str, entry: Column, value: Callable
-) -> DataFrame:
-    """Collect exploded entries of each row in order; rows without entries get an empty array.
-
-    ``df`` is placed by ``key``, so neither the collection nor the join moves its rows again.
-    """
-    arrays = rows.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-    filled = F.transform(F.col("_entries"), value)
-    others = [c for c in df.columns if c not in (key, column)]
-    joined = df.select(key, *others).join(arrays, key, "left").withColumn(column, filled)
-    empty = F.array().cast(joined.schema[column].dataType)
-    return joined.withColumn(column, F.coalesce(column, empty)).drop("_entries")
+def _in_order(entry: Column, field: str) -> Column:
+    """Entries of a row, sorted by their first field, as an array of ``field``."""
+    return F.transform(F.array_sort(F.collect_list(entry)), lambda t: t[field])
 
 
 def best_entries(lexicon: DataFrame) -> DataFrame:
@@ -82,15 +76,16 @@ def annotate(
     """``key, tokens``: each word with lemma and tag from the lexicon, in text order.
 
     Unknown words keep their text as lemma and get the tag ``X``. Texts without words give an empty
-    array. Texts are placed by key before they are split: a text is several times smaller than its
+    array. Texts are placed by row before they are split: a text is several times smaller than its
     annotated words, which are then collected in the task that made them.
     """
-    placed = df.select(key, column).repartition(key)
-    tokens = placed.select(key, F.explode_outer(X.tokenise(F.col(column))).alias("t")).select(
-        key, "t.sent", "t.pos", F.col("t.text").alias("token")
+    # Row numbers tell rows apart whose keys are null or equal.
+    placed = df.select(key, column).withColumn("_row", F.monotonically_increasing_id()).repartition("_row")
+    tokens = placed.select("_row", key, F.explode_outer(X.tokenise(F.col(column))).alias("t")).select(
+        "_row", key, "t.sent", "t.pos", F.col("t.text").alias("token")
     )
     entries = land(best_entries(lexicon), "lexicon")
-    known = lookup_join(tokens, entries, "token", "left", spread_by=[key, "sent", "pos"])
+    known = lookup_join(tokens, entries, "token", "left", spread_by=["_row", "sent", "pos"])
     entry = F.struct(
         "sent",
         "pos",
@@ -99,7 +94,7 @@ def annotate(
         F.coalesce("upos", F.lit(UNKNOWN_TAG)).alias("upos"),
     )
     found = F.collect_list(F.when(F.col("token").isNotNull(), entry))
-    return known.groupBy(key).agg(F.array_sort(found).alias("tokens"))
+    return known.groupBy("_row", key).agg(F.array_sort(found).alias("tokens")).drop("_row")
 
 
 def annotate_with(
@@ -166,12 +161,12 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", key: str = "review_id") -
 def encode_tokens(
     df: DataFrame, vocab: DataFrame, tokens: str = "tokens", key: str = "review_id", name: str = "ids"
 ) -> DataFrame:
-    """Replace tokens by vocabulary ids, in order; unknown tokens are dropped."""
-    placed = df.select(key, tokens).repartition(key)
-    exploded = words_of(placed, tokens, key, "_pos")
-    ids = lookup_join(exploded, vocab.select("token", "id"), "token", "inner", spread_by=[key, "_pos"])
-    entry = F.struct("_pos", F.col("id").cast("int").alias("id"))
-    return _put_back(placed.select(key), ids, key, name, entry, lambda t: t["id"])
+    """Replace tokens by vocabulary ids, in order; unknown tokens are dropped, null arrays become empty."""
+    placed = df.select(key, tokens).withColumn("_row", F.monotonically_increasing_id()).repartition("_row")
+    exploded = placed.select("_row", key, F.posexplode_outer(tokens).alias("_pos", "token"))
+    ids = lookup_join(exploded, vocab.select("token", "id"), "token", "left", spread_by=["_row", "_pos"])
+    known = F.when(F.col("id").isNotNull(), F.struct("_pos", F.col("id").cast("int").alias("id")))
+    return ids.groupBy("_row", key).agg(_in_order(known, "id").alias(name)).drop("_row")
 
 
 def max_len(df: DataFrame, ids: str = "ids") -> DataFrame:

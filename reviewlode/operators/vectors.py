@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, Word2Vec, Word2VecModel
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
@@ -75,16 +75,15 @@ def _vocabulary(
     """Number of texts, the terms within the limits as a table, and their count vectoriser.
 
     The corpus is read once, to count terms as a table. The vectoriser then learns its vocabulary
-    from that table, one term per row, so terms go from the executors to the model and nowhere else.
-    All terms tie there; one sorted partition (its size is checked) makes their order, and with it
-    every seeded fit, repeatable unless ``spark.default.parallelism`` spreads the count again.
+    from that table, whose size is checked: terms in order of frequency, ties by name, so the order, and
+    with it every seeded fit, is the same on any cluster.
     """
     n = df.count()
     vocabulary = land(doc_freq(df, terms, min_df, max_df, n), "vocabulary")
     check_vocab(vocabulary.count(), vocab_limit)
-    ordered = vocabulary.orderBy(F.desc("df"), "term").select(F.array("term").alias(terms))
-    learner = CountVectorizer(inputCol=terms, outputCol="counts", vocabSize=vocab_limit)
-    return n, vocabulary, learner.fit(ordered.coalesce(1))
+    rows = vocabulary.select("term", "df").collect()
+    ordered = [row.term for row in sorted(rows, key=lambda row: (-row.df, row.term))]
+    return n, vocabulary, CountVectorizerModel.from_vocabulary(ordered, inputCol=terms, outputCol="counts")
 
 
 def check_vocab(size: int, vocab_limit: int = VOCAB_LIMIT) -> None:
@@ -134,6 +133,10 @@ def fit_tfidf(
     return PipelineModel([counter, smooth, scale])
 
 
+# Running words that one task learns word vectors from, and the tasks at most.
+WORDS_PER_TASK, MOST_TASKS = 500_000, 256
+
+
 def fit_word_vectors(
     df: DataFrame,
     tokens: str = "tokens",
@@ -145,16 +148,24 @@ def fit_word_vectors(
 ) -> Word2VecModel:
     """Word vectors learned on the corpus; a text's vector is their mean.
 
-    Training holds one vector per word on every executor, so the number of words is checked first.
+    Training holds one vector per word on every executor, so the number of words is checked first. Tasks
+    grow with the corpus; as each learns from its own part, the passes over the data grow with them.
     """
     words = df.select(F.explode_outer(tokens).alias("w")).filter("w IS NOT NULL").groupBy("w").count()
-    kept = words.filter(F.col("count") >= min_count).count()
+    kept, places = words.filter(F.col("count") >= min_count).agg(F.count("w"), F.sum("count")).first()
     if kept == 0:
         raise EmptyVocabulary("no words remain; lower min_count")
     if kept * size > weight_limit:
         raise VocabularyTooLarge(f"{kept} words of {size} values; raise min_count")
+    parts = max(1, min(MOST_TASKS, places // WORDS_PER_TASK))
     return Word2Vec(
-        vectorSize=size, minCount=min_count, seed=seed, inputCol=tokens, outputCol=output
+        vectorSize=size,
+        minCount=min_count,
+        seed=seed,
+        inputCol=tokens,
+        outputCol=output,
+        numPartitions=parts,
+        maxIter=min(parts, 8),
     ).fit(df.select(tokens))
 
 

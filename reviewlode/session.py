@@ -66,13 +66,17 @@ def fits_broadcast(
     return rows <= max_rows and size <= max_bytes
 
 
-# Training rows one task should hold at least; an iteration over fewer is all scheduling.
-TRAINING_ROWS = 2_000
+# Training rows one task should hold: as many cores as there are work while each gets the lower number,
+# and beyond that tasks hold the upper number.
+LEAST_ROWS, TRAINING_ROWS = 150, 2_000
 
 
 def for_training(df: DataFrame, n: int) -> DataFrame:
     """Merge the partitions of a small training set of ``n`` rows; a large one keeps its own.
 
-    Iterative fits start one job per step, so their cost on little data is the number of tasks.
+    Iterative fits start one job per step, so on little data they cost as much as there are tasks, and on
+    more data as the longest task takes.
     """
-    return df.coalesce(max(1, -(-n // TRAINING_ROWS)))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(-(-n // TRAINING_ROWS), min(cores, -(-n // LEAST_ROWS)))
+    return df.coalesce(max(1, tasks))
