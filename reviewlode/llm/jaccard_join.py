@@ -9,7 +9,8 @@ runs over *regions*, sets of documents that a linked pair must share:
    region's pivots are exact. A document within the radius ``r`` of a pivot belongs to the Voronoi cell of
    its nearest one and is linked to it; a pivot and its cell leave the region.
 3. By the triangle inequality a partner of a cell's document lies within ``2 r`` of the pivot. Documents
-   between ``r`` and ``2 r`` are the cell's window and are kept with it.
+   between ``r`` and ``2 r`` are the cell's window and are kept with it; each meets only those of the cell's
+   documents whose own distance from the pivot is less by ``r`` at most.
 4. What lies beyond all cells is joined recursively with more pivots, until no region has two documents.
 5. Cells are one component each. Only windows whose documents the links so far leave in another component
    are compared with the cell's documents, exactly.
@@ -193,7 +194,7 @@ def _join_regions(regions: DataFrame, distances: _Distances, percent: int) -> Da
     twins = n_labels.where("classes > 1").select("a", F.col("a").alias("p"))
     found = [land(distances.near(twins), "distances")]  # different sets under one label
     cells, windows = [], []
-    n_pivots = 1
+    n_pivots = 2
     while True:
         slot = F.pmod(F.xxhash64("a", F.lit(n_pivots)), F.lit(n_pivots))
         many = regions.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
@@ -216,12 +217,13 @@ def _join_regions(regions: DataFrame, distances: _Distances, percent: int) -> Da
         taken = pivots.select("g", F.col("p").alias("a"))
         cell = rows.where("within").join(taken, ["g", "a"], "left_anti")
         cell = cell.groupBy("g", "a").agg(F.max(F.struct("like", "p")).alias("best"))
-        cell = land(cell.select("g", "a", F.col("best.p").alias("p")), "cells")
-        cells.append(cell)
-        windows.append(rows.where("not within").join(taken, ["g", "a"], "left_anti").select("g", "p", F.col("a").alias("y")))
+        cell = land(cell.select("g", "a", "best.p", "best.like"), "cells")
+        cells.append(cell.select("p", "a", "like"))
+        beyond = rows.where("not within").join(taken, ["g", "a"], "left_anti")
+        windows.append(beyond.select("p", F.col("a").alias("y"), F.col("like").alias("y_like")))
         gone = taken.union(cell.select("g", "a"))
         regions = land(regions.join(many, "g", "left_semi").join(gone, ["g", "a"], "left_anti"), "regions")
-        n_pivots = min(4 * n_pivots, 256)
+        n_pivots = min(8 * n_pivots, 256)
     links = reduce(DataFrame.union, found).where(F.expr(f"100 * both >= {percent} * any"))
     links = land(links.select(F.col("ca").alias("u"), F.col("cp").alias("v")), "links")
     roots = components(links)
@@ -231,10 +233,11 @@ def _join_regions(regions: DataFrame, distances: _Distances, percent: int) -> Da
     of = sets.select("a", "c").join(roots.withColumnRenamed("node", "c"), "c", "left")
     of = of.groupBy("a").agg(F.min(F.coalesce("root", "c")).alias("low"), F.max(F.coalesce("root", "c")).alias("high"))
     side = of.toDF("p", "p_low", "p_high")
-    window = reduce(DataFrame.union, windows).join(side, "p").join(of.toDF("y", "y_low", "y_high"), "y")
+    window = reduce(DataFrame.union, windows).distinct().join(side, "p").join(of.toDF("y", "y_low", "y_high"), "y")
     window = window.where("not (p_low = y_low and p_high = y_high and p_low = p_high)")
-    cell = reduce(DataFrame.union, cells)
-    rest = cell.join(window.select("g", "p", "y"), ["g", "p"]).where("a <> y")
+    # A cell's documents are taken over all regions at once, so a pair is made once and not once per region.
+    cell = reduce(DataFrame.union, cells).distinct()
+    rest = cell.join(window, "p").where(f"a <> y and like - y_like <= {(100 - percent) / 100} + 1e-9")
     rest = rest.select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("p")).distinct()
     more = distances.near(land(rest, "window-pairs")).where(F.expr(f"100 * both >= {percent} * any"))
     more = land(more.select("ca", "cp"), "window-links")

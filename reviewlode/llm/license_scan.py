@@ -147,7 +147,7 @@ def own_licenses(
 def directories(path: Column) -> Column:
     """Directories above a path, nearest first; the root is the empty text."""
     parts = F.split(path, "/", -1)
-    return F.transform(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
 def scan(
