@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +35,11 @@ from reviewlode.llm.shingles import word_hashes
 from reviewlode.session import land
 
 DEPTH = 5
-HEAD = 1_000_000
-# Texts of a batch worked on at once.
-STEP = 300
+HEAD = 600_000
+# Texts worked on at once, and their bytes; a longer text is worked on alone.
+STEP, STEP_BYTES = 300, 400_000
+# Keys a task gathers before it adds them up, and sums it holds before it passes them on.
+GATHER, HOLD = 1_000_000, 500_000
 GRAM, WORD = 0, 1
 
 
@@ -56,8 +59,12 @@ def _words(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[int]]]:
     for batch in batches:
-        for at in range(0, batch.num_rows, STEP):
-            part = batch.slice(at, STEP)
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            fits = int(np.searchsorted(np.cumsum(sizes[at : at + STEP]), STEP_BYTES, side="right"))
+            part = batch.slice(at, max(1, fits))
+            at += part.num_rows
             made = [code(t) for t in part.column("text").to_pylist()]
             yield part, [c for c, _ in made], [n for _, n in made]
 
@@ -86,9 +93,9 @@ def _counts(rows: DataFrame, depth: int) -> DataFrame:
                 once, at = np.unique(keys, return_inverse=True)
                 n, everything = (np.bincount(at, weights=w, minlength=len(once)) for w in (mine, None))
                 kept[kind].append((once, n, everything))
-                if sum(len(k) for k, _, _ in kept[kind]) > 2_000_000:
+                if sum(len(k) for k, _, _ in kept[kind]) > GATHER:
                     kept[kind] = [total(kept[kind])]
-                    if len(kept[kind][0][0]) > 1_000_000:
+                    if len(kept[kind][0][0]) > HOLD:
                         yield flush(kind)
         for kind in (GRAM, WORD):
             if kept[kind]:
