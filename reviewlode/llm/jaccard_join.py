@@ -189,7 +189,7 @@ class _Distances:
 
 def _join_regions(regions: DataFrame, distances: _Distances, percent: int) -> DataFrame:
     """(node, root) of every class id with a link. ``regions``: (g, a)."""
-    sets = distances.classes
+    sets, spark = distances.classes, regions.sparkSession
     n_labels = sets.groupBy("a").agg(F.count(F.lit(1)).alias("classes"))
     twins = n_labels.where("classes > 1").select("a", F.col("a").alias("p"))
     found = [land(distances.near(twins), "distances")]  # different sets under one label
@@ -202,8 +202,8 @@ def _join_regions(regions: DataFrame, distances: _Distances, percent: int) -> Da
         pivots = land(pivots.join(many, "g"), "pivots")
         if pivots.isEmpty():
             break
-        rows = land(regions.join(pivots, "g").where("a <> p"), "region-pairs")
-        ordered = rows.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("p")).distinct()
+        pairs = land(regions.join(pivots, "g").where("a <> p"), "region-pairs")
+        ordered = pairs.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("p")).distinct()
         near = land(distances.near(ordered), "distances")
         found.append(near)
         linked = F.expr(f"100 * both >= {percent} * any")
@@ -213,16 +213,17 @@ def _join_regions(regions: DataFrame, distances: _Distances, percent: int) -> Da
             (F.every(linked) & (F.count(F.lit(1)) == 1)).alias("within"),
         )
         both_ways = by_label.union(by_label.select("p", "a", "like", "within"))
-        rows = land(rows.join(both_ways, ["a", "p"]), "region-distances")
         taken = pivots.select("g", F.col("p").alias("a"))
-        cell = rows.where("within").join(taken, ["g", "a"], "left_anti")
-        cell = cell.groupBy("g", "a").agg(F.max(F.struct("like", "p")).alias("best"))
+        rows = land(pairs.join(both_ways, ["a", "p"]).join(taken, ["g", "a"], "left_anti"), "region-distances")
+        cell = rows.where("within").groupBy("g", "a").agg(F.max(F.struct("like", "p")).alias("best"))
         cell = land(cell.select("g", "a", "best.p", "best.like"), "cells")
         cells.append(cell.select("p", "a", "like"))
-        beyond = rows.where("not within").join(taken, ["g", "a"], "left_anti")
-        windows.append(beyond.select("p", F.col("a").alias("y"), F.col("like").alias("y_like")))
+        beyond = rows.where("not within").select("p", F.col("a").alias("y"), F.col("like").alias("y_like"))
+        windows.append(land(beyond.distinct(), "windows"))
         gone = taken.union(cell.select("g", "a"))
-        regions = land(regions.join(many, "g", "left_semi").join(gone, ["g", "a"], "left_anti"), "regions")
+        left = land(regions.join(many, "g", "left_semi").join(gone, ["g", "a"], "left_anti"), "regions")
+        discard(spark, pairs, rows, pivots, regions)
+        regions = left
         n_pivots = min(8 * n_pivots, 256)
     links = reduce(DataFrame.union, found).where(F.expr(f"100 * both >= {percent} * any"))
     links = land(links.select(F.col("ca").alias("u"), F.col("cp").alias("v")), "links")
