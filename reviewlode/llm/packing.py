@@ -237,7 +237,8 @@ def pack(
     if not with_ids:
         return placed.withColumnRenamed("doc", key)
     # Pieces that agree in document, place and content are the same ids.
-    ids = cut.select("doc", "piece", "ids_crc32", "ids").dropDuplicates(["doc", "piece", "ids_crc32"])
-    same = [placed[c].eqNullSafe(ids[c]) for c in ("doc", "piece", "ids_crc32")]
+    names = ["doc", "piece", "ids_crc32"]
+    ids = cut.select(*[F.col(c).alias(f"of_{c}") for c in names], "ids").dropDuplicates([f"of_{c}" for c in names])
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in names]
     out = placed.join(ids, same[0] & same[1] & same[2], "left")
-    return out.select(*[placed[c] for c in placed.columns], ids["ids"]).withColumnRenamed("doc", key)
+    return out.select(*placed.columns, "ids").withColumnRenamed("doc", key)

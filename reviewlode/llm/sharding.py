@@ -51,7 +51,7 @@ def shard_rows(
     """
     spark = docs.sparkSession
     made = {n: free(docs.columns, n) for n in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")}
-    hidden = {n: free(docs.columns, f"shuffle_{n}") for n in ("bucket", "first", "print", "salt")}
+    hidden = {n: free(docs.columns, f"shuffle_{n}") for n in ("bucket", "first", "print", "salt", "of")}
     whole = F.coalesce(F.col(text), F.lit(""))
     size, check = F.octet_length(whole).cast("long") + RECORD_BYTES, F.crc32(whole)
     prints = land(docs.select(size.alias("size"), F.xxhash64(F.col(key), check, F.lit(seed)).alias("print")), "records")
@@ -66,11 +66,11 @@ def shard_rows(
     sized = sized.withColumn(hidden["print"], F.xxhash64(F.col(key), F.col(made["text_crc32"]), F.lit(seed)))
     turn = F.pmod(F.xxhash64(F.col(hidden["print"]), salt), F.lit(n_buckets))
     sized = sized.withColumn(hidden["bucket"], turn)
-    counts = sized.groupBy(F.col(hidden["bucket"]).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = sized.groupBy(F.col(hidden["bucket"]).alias(hidden["of"])).agg(F.count(F.lit(1)).alias("n"))
     counts = land(counts, "buckets")
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(hidden["first"]))
-    sized = sized.join(small(firsts), F.col(hidden["bucket"]) == F.col("b")).drop("b")
+    before = Window.orderBy(hidden["of"]).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(hidden["of"], F.coalesce(F.sum("n").over(before), F.lit(0)).alias(hidden["first"]))
+    sized = sized.join(small(firsts), F.col(hidden["bucket"]) == F.col(hidden["of"])).drop(hidden["of"])
     place, first, bucket = free(sized.columns, "place"), hidden["first"], hidden["bucket"]
     columns = [c for c in sized.columns if c not in hidden.values()]
     ties = [hidden["print"], key, made["text_crc32"]]
