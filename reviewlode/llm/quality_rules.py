@@ -1,10 +1,13 @@
 """Quality rules whose thresholds follow the data: one fence per statistic, language and source.
 
 Each (language, source) keeps a mergeable quantile sketch of every statistic. Sketches of several batches
-merge into those of the whole, so thresholds can be maintained without reading old texts. A fence lies
-``REACH`` times the way from the lowest tenth to the median above the median, so up to half of a group may
-be bad before the fence moves, and never inside ``floor``, so that a group in which a statistic hardly
-varies does not reject ordinary documents. All work is DataFrame functions.
+merge into those of the whole, so thresholds can be maintained without reading old texts.
+A fence lies ``REACH`` spreads above the median. The spread is the way from the lowest tenth to the median, or,
+if that is more, from the median to the highest tenth, the latter taken as one ``step`` at least and two at most,
+so up to half of a group may be bad before its fence moves far. The fence of all rows starts from ``floor``, that of
+a language from all rows', that of a group from its language's; ``FULL`` rows carry half the weight, so small groups
+follow their language, and a group whose own fence lies above its language's counts less the farther off it is.
+All work is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -24,15 +27,20 @@ BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 5
 REACH = 4.0
 SKETCH_SIZE = 4000
+# Rows at which a group's own fence weighs as much as what it starts from.
+FULL = 100
+# Groups of fewer rows never reject a row inside their own median and lower spread.
+FEW = 30
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A statistic, and the value its upper fence never falls below."""
+    """A statistic, the fence that few rows start from, and the least spread above a median."""
 
     name: str
     value: Callable[[Column, dict[str, Column]], Column]
     floor: float
+    step: float
 
 
 def _per_word(part: Column, base: dict[str, Column]) -> Column:
@@ -44,12 +52,12 @@ def _without(text: Column, marks: str) -> Column:
 
 
 RULES = [
-    Rule("symbol_ratio", lambda t, b: _per_word(b["n_symbols"], b), 0.25),
-    Rule("bang_ratio", lambda t, b: _per_word(_without(t, "!?"), b), 0.35),
-    Rule("upper_ratio", lambda t, b: F.regexp_count(t, F.lit(r"\p{Lu}")) / F.greatest(b["word_chars"], F.lit(1)), 0.4),
-    Rule("line_ratio", lambda t, b: _per_word(b["n_dup_lines"], b), 0.08),
-    Rule("repeat_ratio", lambda t, b: _per_word(b["n_repeat_words"], b), 0.15),
-    Rule("word_length", lambda t, b: _per_word(b["word_chars"], b), 15.0),
+    Rule("symbol_ratio", lambda t, b: _per_word(b["n_symbols"], b), 0.25, 0.03),
+    Rule("bang_ratio", lambda t, b: _per_word(_without(t, "!?"), b), 0.35, 0.04),
+    Rule("upper_ratio", lambda t, b: F.regexp_count(t, F.lit(r"\p{Lu}")) / F.greatest(b["word_chars"], F.lit(1)), 0.4, 0.025),
+    Rule("line_ratio", lambda t, b: _per_word(b["n_dup_lines"], b), 0.08, 0.01),
+    Rule("repeat_ratio", lambda t, b: _per_word(b["n_repeat_words"], b), 0.15, 0.03),
+    Rule("word_length", lambda t, b: _per_word(b["word_chars"], b), 15.0, 0.5),
 ]
 
 
@@ -136,13 +144,40 @@ def merge_sketches(parts: list[DataFrame], groups: list[str]) -> DataFrame:
 
 
 def limits(sketched: DataFrame, groups: list[str]) -> DataFrame:
-    """The upper fence of every statistic per group, in columns named as the statistics."""
+    """The upper fence of every statistic per group, in columns named as the statistics.
 
-    def fence(rule: Rule) -> Column:
-        low, middle = (F.kll_sketch_get_quantile_double(rule.name, F.lit(q)) for q in (0.1, 0.5))
-        return F.greatest(F.lit(rule.floor), middle + REACH * (middle - low)).alias(rule.name)
-
-    return sketched.select(*groups, *[fence(r) for r in RULES])
+    The first group is held against all rows, every further one against the groups it is part of.
+    """
+    stored = land(sketched, "sketches")
+    above: DataFrame | None = None
+    for depth in range(len(groups) + 1):
+        on, last = groups[:depth], depth == len(groups)
+        level = stored if last else merge_sketches([stored], on)
+        if above is None:
+            start = {r.name: F.lit(r.floor) for r in RULES}
+        else:
+            marks = {c: f"above_{i}" for i, c in enumerate(above.columns)}
+            outer = small(above.select(*[F.col(c).alias(m) for c, m in marks.items()]))
+            same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(marks[g])) for g in on[:-1]], F.lit(True))
+            level = level.join(outer, same, "left")
+            start = {r.name: F.col(marks[r.name]) for r in RULES}
+        above = level.select(*on, *[_fence(r, start[r.name], depth > 1, last).alias(r.name) for r in RULES])
+    return above
+
+
+def _fence(rule: Rule, start: Column, part: bool, last: bool) -> Column:
+    """The fence of a sketch's rows, moved from ``start`` by their number."""
+    n = F.kll_sketch_get_n_double(rule.name)
+    low, middle, high = (F.kll_sketch_get_quantile_double(rule.name, F.lit(q)) for q in (0.1, 0.5, 0.9))
+    upper = F.greatest(F.lit(rule.step), F.least(F.lit(2 * rule.step), high - middle))
+    own = middle + REACH * F.greatest(middle - low, upper)
+    weight = n / (n + F.lit(FULL))
+    if part:
+        weight = weight * F.least(F.lit(1.0), F.pow(start / own, F.lit(2.0)))
+    fence = start + weight * (own - start)
+    if last:
+        fence = F.when(n < FEW, F.greatest(fence, middle + REACH * (middle - low))).otherwise(fence)
+    return F.when(n > 0, fence).otherwise(start)
 
 
 def judge(measured: DataFrame, names: dict[str, str], fences: DataFrame, groups: list[str]) -> DataFrame:

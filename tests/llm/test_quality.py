@@ -79,6 +79,35 @@ def test_sketches_merge(make_docs):
     assert sorted(map(str, merged.collect())) == sorted(map(str, whole.collect()))
 
 
+def test_groups_set_their_own_thresholds(spark, make_docs):
+    rows = []
+    for i in range(150):
+        words = [f"{'abcdefghij'[(i + j) % 10]}{i}w{j}" for j in range(40)]
+        tags = " #" * (2 + i % 5)
+        rows += [(" ".join(words), "en", "plain"), (" ".join(words) + tags, "en", "tagged")]
+        rows.append((" ".join(words) + " #" * 100, "en", "junk"))
+        rows.append((" ".join(f"long{w}word" for w in words), "de", "plain"))
+    docs = make_docs(rows)
+    measured, names = quality_rules.measure(docs)
+    on = ["lang", "source"]
+    fences = {(r.lang, r.source): r for r in quality_rules.limits(quality_rules.sketches(measured, names, on), on).collect()}
+    floors = {r.name: r.floor for r in quality_rules.RULES}
+    plain, tagged, german = fences["en", "plain"], fences["en", "tagged"], fences["de", "plain"]
+    assert plain.symbol_ratio < tagged.symbol_ratio and plain.word_length < floors["word_length"] < german.word_length
+    assert all(f.bang_ratio < floors["bang_ratio"] for f in fences.values())
+    assert not any(r.kept for r in quality_rules.verdicts(docs).where("source = 'junk'").collect())
+
+
+def test_thresholds_follow_the_given_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    measured, names = quality_rules.measure(docs)
+    sketched = quality_rules.sketches(measured, names, ["lang"])
+    fences = quality_rules.limits(sketched, ["lang"]).collect()
+    for rule in quality_rules.RULES:
+        assert len({round(r[rule.name], 9) for r in fences}) == len(fences) == 4
+    assert all(r.word_length < 15 and r.symbol_ratio < 0.25 for r in fences)
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
