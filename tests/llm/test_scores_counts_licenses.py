@@ -223,3 +223,22 @@ def test_licenses_of_odd_rows(odd_docs):
     files = odd_docs.withColumn("path", F.concat(F.lit("x/"), F.col("doc_id").cast("string")))
     rows = license_scan.scan(files).collect()
     assert len(rows) == odd_docs.count() and {r.origin for r in rows} == {"none"}
+
+
+def test_real_licence_files_and_wrapped_headers(spark):
+    full = {name: text for name, text, whole in license_scan.LONGER if whole}
+    header = dict(license_scan.HEADERS)["gpl-3.0"].split()
+    wrapped = "\n".join("# " + " ".join(header[i : i + 9]) for i in range(0, len(header), 9))
+    code = "\n".join(f"value{i} = compute{i}(other{i}, {i})" for i in range(200))
+    rows = [(f"{name}/LICENSE", text) for name, text in full.items()]
+    rows += [("titled/LICENSE", "MIT License\n\nCopyright (c) 2020 A Person\n\n" + full["mit"]), ("titled/sub/code", code)]
+    rows += [("x/a", wrapped + "\n" + code), ("x/b", "// SPDX-License-Identifier: MPL-2.0\n" + code), ("x/c", code)]
+    rows += [("x/d", code + "\n" + full["bsd-3-clause"] + "\n" + code)] * 2
+    rows += [(f"y/{i}", code + f" word{i}") for i in range(60)]
+    table = spark.createDataFrame([(p, p, t) for p, t in rows], "doc_id string, path string, text string")
+    got = {r.path: (r.license, r.origin) for r in license_scan.scan(table).collect()}
+    for name in full:
+        assert got[f"{name}/LICENSE"] == (name, "file")
+    assert got["titled/LICENSE"] == ("mit", "file") and got["titled/sub/code"] == ("mit", "inherited")
+    assert got["x/a"] == ("gpl-3.0", "header") and got["x/b"] == ("mpl-2.0", "header")
+    assert got["x/d"] == ("bsd-3-clause", "header") and got["x/c"] == (None, "none")
