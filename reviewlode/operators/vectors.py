@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, Word2Vec, Word2VecModel
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer, VectorSlicer, Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
@@ -133,6 +133,22 @@ def fit_tfidf(
     return PipelineModel([counter, smooth, scale])
 
 
+def fit_hashed_tfidf(df: DataFrame, features: int, n: int, terms: str = "terms", output: str = "features") -> PipelineModel:
+    """As :func:`fit_tfidf`, all terms being hashed into ``features`` columns; ``n`` is the number of rows."""
+    if df.where(F.size(terms) > 0).isEmpty():
+        raise EmptyVocabulary("no terms")
+    hashed = HashingTF(numFeatures=features, inputCol=terms, outputCol="counts")
+    frequencies = np.array(IDF(inputCol="counts", outputCol="_weighted").fit(hashed.transform(df)).docFreq)
+    smooth = ElementwiseProduct(
+        scalingVec=Vectors.dense(np.log((1 + n) / (1 + frequencies)) + 1),
+        inputCol="counts",
+        outputCol="_weighted",
+    )
+    # Columns that no term has are left out, so that a tree does not draw them.
+    used = VectorSlicer(inputCol="_weighted", outputCol="_used", indices=[int(i) for i in np.flatnonzero(frequencies)])
+    return PipelineModel([hashed, smooth, used, Normalizer(p=2.0, inputCol="_used", outputCol=output)])
+
+
 # Running words that one task learns word vectors from, and the tasks at most.
 WORDS_PER_TASK, MOST_TASKS = 500_000, 256
 
