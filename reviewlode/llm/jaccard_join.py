@@ -1,19 +1,23 @@
 """Join of documents whose word-shingle sets are alike, as a metric-space join under Jaccard distance.
 
-The distance of two sets is ``1 - |a and b| / |a or b|``, which obeys the triangle inequality. The join
-runs over *regions*, sets of documents that a linked pair must share:
-
-1. Every distinct set enters one region per shingle of its prefix: with a fixed order of all shingles,
-   rare ones first, two sets of similarity ``t`` share one of their first ``n - ceil(t n) + 1``.
-2. In each region pivots are drawn, the same documents in all regions where possible. Distances to the
-   region's pivots are exact. A document within the radius ``r`` of a pivot belongs to the Voronoi cell of
-   its nearest one and is linked to it; a pivot and its cell leave the region.
-3. By the triangle inequality a partner of a cell's document lies within ``2 r`` of the pivot. Documents
-   between ``r`` and ``2 r`` are the cell's window and are kept with it; each meets only those of the cell's
-   documents whose own distance from the pivot is less by ``r`` at most.
-4. What lies beyond all cells is joined recursively with more pivots, until no region has two documents.
-5. Cells are one component each. Only windows whose documents the links so far leave in another component
-   are compared with the cell's documents, exactly.
+The distance of two sets is ``1 - |a and b| / |a or b|``, which obeys the triangle inequality. Equal sets are one
+class. The join runs over *regions*, sets of classes that a linked pair must share:
+
+1. With a fixed order of all shingles, two sets of similarity ``t`` share one of their first ``n - ceil(t n) + 1``, and
+   what stands before the first one that they share bounds what they can share in all. A class enters a region per
+   shingle of its prefix, with the largest partner that its place there allows. Regions drop classes that have no
+   such partner in them. This is done twice: by hash, to find the classes that may have a partner at all, and
+   then, among these, rarest shingles first, which puts a set's own shingles before all that it shares.
+2. Regions of the same members are one, with the widest bounds of them.
+3. In each region pivots are drawn, the classes with the smallest share of own shingles, which stand in the middle
+   of their like. Distances to the region's pivots are exact. A class within the radius ``r`` of a pivot belongs to the
+   Voronoi cell of its nearest one and is linked to it; a pivot and its cell leave the region.
+4. By the triangle inequality a partner of a cell's class lies within ``2 r`` of the pivot. Classes between ``r`` and
+   ``2 r`` are the cell's window and are kept with it; each meets only those of the cell's
+   classes whose own distance from the pivot is less by ``r`` at most.
+5. What lies beyond all cells is joined recursively with more pivots, until no region has two classes.
+6. Cells are one component each. Only windows whose classes the links so far leave in another component are compared
+   with the cell's classes, exactly.
 
 Every pair at distance ``r`` or less is thus linked, or its ends are known to be connected. No region is
 gathered in one task: pivots are minima, and distances are joins that adaptive execution splits.
@@ -26,29 +30,25 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlode.llm.common import components, discard, free, map_arrow, small
 from reviewlode.llm.shingles import set_keys, shingle_sets
 from reviewlode.session import fits_broadcast, land
 
-# Shingles held by more prefixes than this come last in the order, the most frequent first in the list;
-# both numbers steer speed only, since any fixed order gives the same links.
-COMMON_FROM = 1
-COMMON_LIST = 2_000_000
-# Share of a set, its lowest hashes, that is stored to rule out pairs before whole sets are read.
-LOW_PERCENT, LOW_LEAST = 30, 8
+# Pivots of a region in the first round, how many times more in each next one, and at most.
+FIRST_PIVOTS, MORE_PIVOTS, MOST_PIVOTS = 1, 8, 256
 
 
-def _map(docs: DataFrame, schema: str, make: Callable, *columns: str, as_lists: bool = True) -> DataFrame:
-    """Apply ``make(ids, values)`` to Arrow batches of two columns; it gives arrays in schema order."""
+def _map(docs: DataFrame, schema: str, make: Callable, *columns: str) -> DataFrame:
+    """Apply ``make(ids, texts)`` to Arrow batches of two columns; it gives arrays in schema order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                out = make(part.column(0), part.column(1).to_pylist() if as_lists else part.column(1))
+                out = make(part.column(0), part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in schema.split(", ")])
 
     return map_arrow(docs.select(*columns), run, schema)
@@ -59,235 +59,200 @@ def _size(n: int, percent: int) -> int:
     return n + (percent * n // -100) + 1 if n else 0
 
 
-def _low(n: int) -> int:
-    return LOW_PERCENT * n // 100 + LOW_LEAST
-
-
-def _prefix(grams: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
-    size = _size(len(grams), percent)
-    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-    late = common[at] == grams
-    rare = grams[~late]
-    return rare[:size] if len(rare) >= size else np.concatenate((rare, grams[late][: size - len(rare)]))
-
-
-def _sets(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """(id, n, a, b, low): size, two hashes and the lowest hashes of every row's set."""
+def _sets(docs: DataFrame, key: str, text: str, k: int, percent: int, whole: bool = False) -> DataFrame:
+    """(id, n, a, b, grams): size, two hashes and the lowest hashes, or all, of every row's set."""
 
     def make(ids: pa.Array, texts: list) -> list:
         sets = list(shingle_sets(texts, k))
         keys = [set_keys(s) for s in sets]
+        sizes = [len(s) for s in sets]
         return [
             ids,
-            pa.array([len(s) for s in sets], pa.int64()),
+            pa.array(sizes, pa.int64()),
             pa.array([x[0] for x in keys], pa.int64()),
             pa.array([x[1] for x in keys], pa.int64()),
-            pa.array([s[: max(_size(len(s), percent), _low(len(s)))].view(np.int64) for s in sets], pa.list_(pa.int64())),
+            pa.array([(s if whole else s[: _size(n, percent)]).view(np.int64) for s, n in zip(sets, sizes, strict=True)], pa.list_(pa.int64())),
         ]
 
     kind = docs.schema[key].dataType.simpleString()
-    return _map(docs, f"id {kind}, n bigint, a bigint, b bigint, low array<bigint>", make, key, text)
-
+    return _map(docs, f"id {kind}, n bigint, a bigint, b bigint, grams array<bigint>", make, key, text)
 
-def _without_common(docs: DataFrame, key: str, text: str, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(a, prefix): prefixes in which common shingles come last."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-
-    def make(ids: pa.Array, texts: list) -> list:
-        sets = [s for s in shingle_sets(texts, k) if len(s)]
-        parts = [_prefix(s, percent, shared.value).view(np.int64) for s in sets]
-        return [pa.array([set_keys(s)[0] for s in sets], pa.int64()), pa.array(parts, pa.list_(pa.int64()))]
-
-    return _map(docs, "a bigint, prefix array<bigint>", make, key, text)
 
+def _some(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if fits_broadcast(ids) else ids
 
-def _meets(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """(id, late): whether the lowest hashes hold a common shingle."""
-    shared = rows.sparkSession.sparkContext.broadcast(common)
 
-    def make(ids: pa.Array, prefixes: pa.ListArray) -> list:
-        grams = prefixes.flatten().to_numpy().view(np.uint64)
-        at = np.minimum(np.searchsorted(shared.value, grams), len(shared.value) - 1)
-        hits = np.concatenate(([0], np.cumsum(shared.value[at] == grams)))
-        ends = np.cumsum(prefixes.value_lengths().to_numpy())
-        return [ids, pa.array(np.diff(hits[np.concatenate(([0], ends))]) > 0)]
+def _largest(place: Column, percent: int) -> Column:
+    """The largest partner of a set of ``n`` shingles whose first shared one stands at ``place``, counted from 0."""
+    return F.floor((F.col("n") - place) * (100 + percent) / percent + 1e-9).cast("long") - F.col("n")
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return _map(rows, f"id {kind}, late boolean", make, "id", "low", as_lists=False)
 
+def _met(entries: DataFrame, percent: int) -> DataFrame:
+    """``entries`` (g, c, n, most, ...) without those that have no partner within their bounds in their region."""
+    for _ in range(2):
+        span = entries.groupBy("g").agg(
+            F.count(F.lit(1)).alias("members"), F.min("n").alias("least_n"), F.max("most").alias("most_most")
+        )
+        span = span.where("members > 1").select("g", "least_n", "most_most")
+        entries = entries.join(span, "g").where("least_n <= most and n <= most_most").drop("least_n", "most_most")
+    return entries
 
-def _whole(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(c, a, b, grams): whole sets."""
 
-    def make(ids: pa.Array, texts: list) -> list:
-        sets = list(shingle_sets(texts, k))
-        keys = [set_keys(s) for s in sets]
-        return [
-            ids,
-            pa.array([x[0] for x in keys], pa.int64()),
-            pa.array([x[1] for x in keys], pa.int64()),
-            pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-        ]
-
-    kind = docs.schema[key].dataType.simpleString()
-    return _map(docs, f"c {kind}, a bigint, b bigint, grams array<bigint>", make, key, text)
+def _candidates(per_class: DataFrame, percent: int) -> DataFrame:
+    """(c) of the classes that share a shingle of their prefixes by hash with one of a fitting size."""
+    entries = per_class.select("c", "n", F.posexplode("grams").alias("place", "g"))
+    entries = entries.select("g", "c", "n", _largest(F.col("place"), percent).alias("most"))
+    shared = entries.groupBy("g").agg(
+        F.count(F.lit(1)).alias("members"), F.min("n").alias("least_n"), F.max("most").alias("most_most")
+    )
+    shared = land(shared.where("members > 1 and least_n <= most_most").drop("members"), "shared")
+    met = entries.join(shared, "g").where("least_n <= most and n <= most_most")
+    return land(met.select("c").distinct(), "candidates")
 
 
-class _Distances:
-    """Exact Jaccard distances between classes, given pairs of labels.
+def _regions(whole: DataFrame, percent: int) -> DataFrame:
+    """(g, c, n, most, own): the regions of classes (c, n, grams), rarest shingles first.
 
-    ``classes``: (a, b, c, n, low). Whole sets are read from the texts once, when a pair first needs them.
+    ``most`` is the largest partner; ``own`` the share of shingles that no other class has.
     """
+    spark = whole.sparkSession
+    entries = whole.select("c", "n", F.explode("grams").alias("g"))
+    shared = entries.groupBy("g").agg(F.count(F.lit(1)).alias("times"))
+    shared = land(shared.where("times > 1"), "shared")
+    rows = entries.join(shared, "g")
+    ordered = Window.partitionBy("c").orderBy("times", "g")
+    every = Window.partitionBy("c")
+    rows = rows.withColumn("at", F.row_number().over(ordered) - 1).withColumn("common", F.count(F.lit(1)).over(every))
+    place = F.col("n") - F.col("common") + F.col("at")
+    rows = rows.where(place < F.expr(f"n + 1 - ceil({percent} * n / 100)"))
+    own = ((F.col("n") - F.col("common")) / F.col("n")).alias("own")
+    rows = land(rows.select("g", "c", "n", _largest(place, percent).alias("most"), own), "entries")
+    regions = _distinct(_met(rows, percent))
+    discard(spark, shared, rows)
+    return regions
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, key: str, text: str, k: int, percent: int) -> None:
-        self.docs, self.classes, self.key, self.text, self.k, self.percent = docs, classes, key, text, k, percent
-        self.loaded: list[DataFrame] = []
-
-    def _load(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("ca").alias("c")).union(pairs.select("cp")).distinct()
-        if self.loaded:
-            wanted = wanted.join(reduce(DataFrame.union, self.loaded).select("c"), "c", "left_anti")
-        wanted = land(wanted.join(self.classes.select("a", "b", "c"), "c"), "wanted")
-        if not wanted.isEmpty():
-            ids = _some(wanted.select(F.col("c").alias(self.key)))
-            texts = self.docs.select(self.key, self.text).join(ids, self.key, "left_semi")
-            rows = land(_whole(texts, self.key, self.text, self.k), "whole-rows")
-            rows = rows.join(_some(wanted), ["a", "b", "c"], "left_semi").select("c", "grams")
-            if not rows.groupBy("c").count().where("count > 1").isEmpty():  # repeated rows of one id
-                rows = land(rows.dropDuplicates(["c"]), "whole-rows")
-            self.loaded.append(rows)
-        return reduce(DataFrame.union, self.loaded) if self.loaded else None
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """(a, p, ca, cp, both, any) of the label pairs (a, p) within 2 r; the others are left out.
-
-        Sizes rule out pairs first. Then the lowest hashes do: what two sets differ by within any range of
-        hashes is at most what they differ by as a whole.
-        """
-        near = 2 * self.percent - 100
-        names = [f.name for f in pairs.schema.fields]
-        sizes = self.classes.select("a", "c", "n")
-        pairs = pairs.join(sizes.toDF("a", "ca", "na"), "a").join(sizes.toDF("p", "cp", "np"), "p")
-        pairs = pairs.where(F.expr(f"ca <> cp and 100 * least(na, np) >= {near} * greatest(na, np)"))
-        low = self.classes.select("c", "low")
-        tried = pairs.join(low.toDF("ca", "left"), "ca").join(low.toDF("cp", "right"), "cp")
-        upto = "least(element_at(left, -1), element_at(right, -1))"
-        tried = tried.withColumn("upto", F.expr(upto))
-        inside = "size(filter({0}, x -> x <= upto))"
-        apart = f"{inside.format('left')} + {inside.format('right')} - 2 * size(array_intersect(left, right))"
-        tried = tried.where(F.expr(f"({apart}) * {100 + near} <= {100 - near} * (na + np)"))
-        kept = land(tried.select(*names, "ca", "cp", "na", "np"), "tried")
-        whole = self._load(kept)
-        if whole is None:
-            return kept.select(*names, "ca", "cp", F.col("na").alias("both"), F.col("np").alias("any"))
-        kept = kept.join(whole.toDF("ca", "left"), "ca").join(whole.toDF("cp", "right"), "cp")
-        both = F.size(F.array_intersect("left", "right")).cast("long")
-        kept = kept.select(*names, "ca", "cp", both.alias("both"), (F.col("na") + F.col("np")).alias("sum"))
-        kept = kept.select(*names, "ca", "cp", "both", (F.col("sum") - F.col("both")).alias("any"))
-        return kept.where(F.expr(f"100 * both >= {near} * any"))
-
-
-def _join_regions(regions: DataFrame, distances: _Distances, percent: int) -> DataFrame:
-    """(node, root) of every class id with a link. ``regions``: (g, a)."""
-    sets, spark = distances.classes, regions.sparkSession
-    n_labels = sets.groupBy("a").agg(F.count(F.lit(1)).alias("classes"))
-    twins = n_labels.where("classes > 1").select("a", F.col("a").alias("p"))
-    found = [land(distances.near(twins), "distances")]  # different sets under one label
-    cells, windows = [], []
-    n_pivots = 2
-    while True:
-        slot = F.pmod(F.xxhash64("a", F.lit(n_pivots)), F.lit(n_pivots))
-        many = regions.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-        pivots = regions.groupBy("g", slot.alias("slot")).agg(F.min("a").alias("p")).select("g", "p")
-        pivots = land(pivots.join(many, "g"), "pivots")
-        if pivots.isEmpty():
-            break
-        pairs = land(regions.join(pivots, "g").where("a <> p"), "region-pairs")
-        ordered = pairs.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("p")).distinct()
-        near = land(distances.near(ordered), "distances")
-        found.append(near)
-        linked = F.expr(f"100 * both >= {percent} * any")
-        # A label stands for one set but for hash collisions; then all of its sets must be within r.
-        by_label = near.groupBy("a", "p").agg(
-            F.min(F.col("both") / F.col("any")).alias("like"),
-            (F.every(linked) & (F.count(F.lit(1)) == 1)).alias("within"),
-        )
-        both_ways = by_label.union(by_label.select("p", "a", "like", "within"))
-        taken = pivots.select("g", F.col("p").alias("a"))
-        rows = land(pairs.join(both_ways, ["a", "p"]).join(taken, ["g", "a"], "left_anti"), "region-distances")
-        cell = rows.where("within").groupBy("g", "a").agg(F.max(F.struct("like", "p")).alias("best"))
-        cell = land(cell.select("g", "a", "best.p", "best.like"), "cells")
-        cells.append(cell.select("p", "a", "like"))
-        beyond = rows.where("not within").select("p", F.col("a").alias("y"), F.col("like").alias("y_like"))
-        windows.append(land(beyond.distinct(), "windows"))
-        gone = taken.union(cell.select("g", "a"))
-        left = land(regions.join(many, "g", "left_semi").join(gone, ["g", "a"], "left_anti"), "regions")
+
+def _distinct(entries: DataFrame) -> DataFrame:
+    """``entries`` with one region for all that have the same members, whose bounds are the widest."""
+    entries = land(entries, "regions")
+    print_of = [F.bit_xor(F.xxhash64("c", F.lit(i))).alias(f"print{i}") for i in (1, 2)]
+    members = entries.groupBy("g").agg(F.count(F.lit(1)).alias("members"), *print_of).where("members > 1")
+    names = ["members", "print1", "print2"]
+    first = members.groupBy(*names).agg(F.min("g").alias("into"))
+    into = members.join(first, names).select("g", "into")
+    merged = entries.join(into, "g").groupBy(F.col("into").alias("g"), "c")
+    out = land(merged.agg(F.first("n").alias("n"), F.max("most").alias("most"), F.first("own").alias("own")), "regions")
+    discard(entries.sparkSession, entries)
+    return out
+
+
+def _near(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (x, p, ...) of classes that are alike by ``percent``, with ``both`` and ``any``."""
+    sets = whole.select("c", "n", "grams")
+    names = pairs.columns
+    tried = pairs.join(sets.toDF("p", "n_p", "right"), "p").join(sets.toDF("x", "n_x", "left"), "x")
+    both = F.size(F.array_intersect("left", "right")).cast("long")
+    tried = tried.select(*names, both.alias("both"), (F.col("n_x") + F.col("n_p")).alias("sum"))
+    tried = tried.select(*names, "both", (F.col("sum") - F.col("both")).alias("any"))
+    return tried.where(F.expr(f"100 * both >= {percent} * any"))
+
+
+def _join_regions(regions: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of every class with a link."""
+    spark = regions.sparkSession
+    twice = 2 * percent - 100  # similarity at distance 2 r
+    linked = F.expr(f"100 * both >= {percent} * any")
+    found, cells, windows = [], [], []
+    n_pivots = FIRST_PIVOTS
+    while not regions.isEmpty():
+        slot = F.pmod(F.xxhash64("c", F.lit(n_pivots)), F.lit(n_pivots))
+        best = F.min(F.struct("own", "c", "n")).alias("best")
+        pivots = regions.groupBy("g", slot.alias("slot")).agg(best)
+        pivots = land(pivots.select("g", F.col("best.c").alias("p"), F.col("best.n").alias("n_p")), "pivots")
+        fits = F.expr(f"c <> p and 100 * least(n, n_p) >= {twice} * greatest(n, n_p)")
+        pairs = regions.select("g", "c", "n").join(pivots, "g").where(fits)
+        pairs = land(pairs.select("g", F.col("c").alias("x"), "p"), "region-pairs")
+        met = pairs.select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("p")).distinct()
+        near = land(_near(met, whole, twice), "distances")
+        found.append(near.where(linked).select("x", "p"))
+        like = (F.col("both") / F.col("any")).alias("like")
+        near = near.select("x", "p", like, linked.alias("within"))
+        both_ways = near.union(near.select("p", "x", "like", "within"))
+        taken = pivots.select("g", F.col("p").alias("x"))
+        rows = land(pairs.join(both_ways, ["x", "p"]).join(taken, ["g", "x"], "left_anti"), "region-distances")
+        cell = rows.where("within").groupBy("g", "x").agg(F.max(F.struct("like", "p")).alias("best"))
+        cell = land(cell.select("g", "x", "best.p", "best.like"), "cells")
+        cells.append(cell.select("p", "x", "like").distinct())
+        windows.append(land(rows.where("not within").select("p", F.col("x").alias("y"), F.col("like").alias("y_like")).distinct(), "windows"))
+        gone = taken.union(cell.select("g", "x")).withColumnRenamed("x", "c")
+        left = _distinct(_met(regions.join(gone, ["g", "c"], "left_anti"), percent))
         discard(spark, pairs, rows, pivots, regions)
         regions = left
-        n_pivots = min(8 * n_pivots, 256)
-    links = reduce(DataFrame.union, found).where(F.expr(f"100 * both >= {percent} * any"))
-    links = land(links.select(F.col("ca").alias("u"), F.col("cp").alias("v")), "links")
+        n_pivots = min(MORE_PIVOTS * n_pivots, MOST_PIVOTS)
+    if not found:
+        return spark.createDataFrame([], "node bigint, root bigint")
+    links = land(reduce(DataFrame.union, found).toDF("u", "v"), "links")
     roots = components(links)
-    if not cells:
-        return roots
-    # Windows count only where the links so far leave their document apart from the cell.
-    of = sets.select("a", "c").join(roots.withColumnRenamed("node", "c"), "c", "left")
-    of = of.groupBy("a").agg(F.min(F.coalesce("root", "c")).alias("low"), F.max(F.coalesce("root", "c")).alias("high"))
-    side = of.toDF("p", "p_low", "p_high")
-    window = reduce(DataFrame.union, windows).distinct().join(side, "p").join(of.toDF("y", "y_low", "y_high"), "y")
-    window = window.where("not (p_low = y_low and p_high = y_high and p_low = p_high)")
-    # A cell's documents are taken over all regions at once, so a pair is made once and not once per region.
-    cell = reduce(DataFrame.union, cells).distinct()
-    rest = cell.join(window, "p").where(f"a <> y and like - y_like <= {(100 - percent) / 100} + 1e-9")
-    rest = rest.select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("p")).distinct()
-    more = distances.near(land(rest, "window-pairs")).where(F.expr(f"100 * both >= {percent} * any"))
-    more = land(more.select("ca", "cp"), "window-links")
+    # Windows count only where the links so far leave their class apart from the cell.
+    cell = land(reduce(DataFrame.union, cells).distinct(), "all-cells")
+    window = land(reduce(DataFrame.union, windows).distinct(), "all-windows")
+    of = small(roots.withColumnRenamed("node", "y"))
+    side = small(roots.toDF("p", "p_root"))
+    window = window.join(of, "y", "left").join(side, "p", "left").where("coalesce(root, y) <> coalesce(p_root, p)")
+    # A cell's classes are taken over all regions at once, so a pair is made once and not once per region.
+    sizes = whole.select("c", "n", "most")
+    sizes_y, sizes_x = sizes.toDF("y", "n_y", "most_y"), sizes.toDF("x", "n_x", "most_x")
+    window = window.join(sizes_y, "y").select("p", "y", "y_like", "n_y", "most_y")
+    rest = cell.join(sizes_x, "x").join(window, "p")
+    fits = f"x <> y and n_y <= most_x and n_x <= most_y and like - y_like <= {(100 - percent) / 100} + 1e-9"
+    rest = rest.where(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("p")).distinct()
+    more = land(_near(land(rest, "window-pairs"), whole, percent).select("x", "p"), "window-links")
     return roots if more.isEmpty() else components(links.union(more))
 
 
-def _some(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if fits_broadcast(ids) else ids
+def _classes(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per row (id, n, a, b); per class (c, a, b, n, id); (node, root) of the classes with a link.
 
-
-def _common(firsts: DataFrame, percent: int) -> np.ndarray:
-    """The most frequent shingles of all prefixes, at most ``COMMON_LIST``, sorted."""
-    prefix = F.expr(f"explode(slice(low, 1, cast(n + 1 - ceil({percent} * n / 100) as int)))")
-    counts = firsts.select(prefix.alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    counts = land(counts.where(F.col("n") > COMMON_FROM), "common")
-    steps = counts.groupBy(F.floor(4 * F.log2("n")).alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()
-    least, total = None, 0
-    for row in sorted(steps, key=lambda r: -r["step"]):
-        total += row["k"]
-        if total > COMMON_LIST:
-            break
-        least = row["step"]
-    if least is None:
-        return np.empty(0, np.uint64)
-    listed = counts.where(F.floor(4 * F.log2("n")) >= least).select("s").toArrow()
-    return np.sort(listed.column(0).to_numpy().view(np.uint64))
-
-
-def _regions(docs: DataFrame, firsts: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """(g, a): which sets share a shingle of their prefixes."""
+    A class is a set with at least one shingle, known by both of its hashes; ``c`` is a number.
+    """
     spark = docs.sparkSession
-    common = _common(firsts, percent)
-    discard(spark)
-    prefix = F.expr(f"slice(low, 1, cast(n + 1 - ceil({percent} * n / 100) as int))").alias("prefix")
-    prefixes = firsts.select("a", prefix)
-    stored = []
-    if len(common):
-        late = land(_meets(firsts, common), "late")
-        early = _some(late.where("not late").select(F.col("id").alias("e")))
-        early = firsts.join(early, F.col("id") == F.col("e"), "left_semi")
-        again = _some(late.where("late").select(F.col("id").alias(key)))
-        again = docs.select(key, text).join(again, key, "left_semi")
-        stored = [land(_without_common(again, key, text, k, percent, common), "prefixes")]
-        prefixes = early.select("a", prefix).union(stored[0])
-    entries = prefixes.select(F.explode("prefix").alias("g"), "a")
-    shared = entries.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    regions = land(entries.join(shared, "g").distinct(), "regions")
-    discard(spark, *stored)
-    return regions
+    per_row = land(_sets(docs, key, text, k, percent), "sets")
+    classes = per_row.where("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("id"))
+    classes = land(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    # The rows of a class hold the same set; that of the smallest id stands for it, or any where none has an id.
+    named = _some(classes.select("id", "a", "b", "c").where("id is not null"))
+    first = per_row.join(named, ["id", "a", "b"]).select("c", "n", "grams")
+    nameless = classes.where("id is null").select("a", "b", "c")
+    some_nameless = not nameless.isEmpty()
+    if some_nameless:
+        first = first.union(per_row.where("id is null").join(nameless, ["a", "b"]).select("c", "n", "grams"))
+    repeated = not per_row.groupBy("id", "a", "b").count().where("count > 1").isEmpty()
+    per_class = first.dropDuplicates(["c"]) if repeated else first
+    candidates = _candidates(per_class, percent)
+    wanted = land(classes.join(candidates, "c"), "wanted")
+    texts = docs.join(_some(wanted.select(F.col("id").alias(key)).where(F.col(key).isNotNull()).distinct()), key, "left_semi")
+    texts = texts.select(key, text)
+    if some_nameless:
+        texts = texts.union(docs.where(F.col(key).isNull()).select(key, text))
+    whole = _sets(texts, key, text, k, percent, whole=True).select("a", "b", "n", "grams")
+    whole = whole.join(_some(wanted.select("a", "b", "c")), ["a", "b"]).select("c", "n", "grams")
+    whole = land(whole.dropDuplicates(["c"]) if repeated else whole, "whole")
+    regions = _regions(whole, percent)
+    # The largest partner at the first place that a region has.
+    bounds = regions.groupBy("c").agg(F.max("most").alias("most"))
+    kept = land(whole.join(_some(land(bounds, "bounds")), "c"), "whole")
+    discard(spark, whole, candidates, wanted)
+    return per_row.drop("grams"), classes, _join_regions(regions, kept, percent)
+
+
+def _components(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
+    """(id, n, a, b, group, low): per row its component's class and smallest id; null without a shingle."""
+    per_row, classes, roots = _classes(docs, key, text, k, percent)
+    named = classes.join(small(roots.withColumnRenamed("node", "c")), "c", "left")
+    named = land(named.select("a", "b", "n", "id", F.coalesce("root", "c").alias("group")), "named")
+    low = land(named.groupBy("group").agg(F.min("id").alias("low")), "lows")
+    named = land(named.drop("id").join(small(low), "group"), "groups")
+    return per_row.join(small(named), ["a", "b", "n"], "left")
 
 
 def jaccard_components(
@@ -297,42 +262,34 @@ def jaccard_components(
 
     A row's component is the smallest id reachable over links, pairs of sets with ``100 * |a and b| >=
     percent * |a or b|`` (``percent`` above 50). Equal sets, and so equal texts and repeated rows, are
-    one class. Null, empty and blank texts have no shingle and link with nothing. A row with a null id
-    takes the component of its class; a set that only such rows hold is compared with none, and its
-    component is null. Other columns of ``docs`` are not read.
+    one class. Null, empty and blank texts have no shingle and link with nothing. Rows with a null id link
+    like all others; where a component has no other rows, its id is null. Rows that share an id may
+    hold different texts and then have components of their own. Other columns of ``docs`` are not read.
     """
-    per_row = land(_sets(docs, key, text, k, percent), "sets")
-    classes = per_row.where("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("c"))
-    classes = land(classes, "classes")
-    first = _some(classes.select(F.col("c").alias("id"), "a", "b"))
-    firsts = per_row.join(first, ["id", "a", "b"], "left_semi").where("n > 0")
-    regions = _regions(docs, firsts, key, text, k, percent)
-    needed = classes.join(regions.select("a").distinct(), "a", "left_semi").where(F.col("c").isNotNull())
-    low = per_row.select(F.col("id").alias("c"), "a", "b", "low")
-    needed = low.join(_some(needed), ["c", "a", "b"])
-    # Repeated rows of one id have the same set.
-    needed = land(needed, "needed")
-    if not needed.groupBy("c").count().where("count > 1").isEmpty():
-        needed = land(needed.dropDuplicates(["c", "a", "b"]), "needed")
-    roots = _join_regions(regions, _Distances(docs, needed, key, text, k, percent), percent)
-    named = classes.join(small(roots.withColumnRenamed("node", "c")), "c", "left")
-    named = land(named.select("a", "b", "n", F.coalesce("root", "c").alias("component_id")), "named")
-    out = per_row.join(small(named), ["a", "b", "n"], "left")
-    return out.select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
-    )
+    rows = _components(docs, key, text, k, percent)
+    return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group stays.
+    """One row of ``docs`` of each component, that of the smallest id; columns and their order are kept.
 
-    Columns and their order are kept. Of repeated rows of one id one is kept; rows with a null id stay.
+    Where ids are null or repeat, rows are numbered first, and of rows with the smallest id, or with
+    none at all, one stays. Rows without a shingle all stay, but of those that also repeat the id one does.
     """
-    mark = free(docs.columns, "kept_id")
-    groups = land(jaccard_components(docs, key, text, k, percent), "groups")
-    best = groups.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias(mark)).count()
-    best = land(best, "kept-ids")
-    kept = docs.join(_some(best.select(mark)), F.col(key) == F.col(mark), "left_semi")
-    if not best.where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([key])
-    return kept.union(docs.where(F.col(key).isNull()))
+    mark, number = free(docs.columns, "kept_id"), free(docs.columns, "kept_row")
+    ids = docs.select(F.col(key).alias("id"))
+    unique = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").isEmpty()
+    if unique:
+        rows = _components(docs, key, text, k, percent)
+        best = land(rows.where("low is null or low = id").select(F.col("id").alias(mark)), "kept-ids")
+        return docs.join(_some(best), F.col(key) == F.col(mark), "left_semi")
+    numbered = land(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = land(_components(numbered.select(number, text), number, text, k, percent).select("id", "low"), "rows")
+    given = numbered.select(F.col(number).alias("id"), F.col(key).alias("given"))
+    rows = rows.join(given, "id")
+    order = F.struct(F.col("given").isNull().alias("none"), "given", "id")
+    alike = rows.where("low is not null").groupBy("low").agg(F.min(order).alias("best")).select("best.id")
+    empty = rows.where("low is null and given is not null").groupBy("given").agg(F.min("id").alias("id")).select("id")
+    empty = empty.union(rows.where("low is null and given is null").select("id"))
+    best = land(alike.union(empty).select(F.col("id").alias(mark)), "kept-rows")
+    return numbered.join(_some(best), F.col(number) == F.col(mark), "left_semi").select(*[f"`{c}`" for c in docs.columns])

@@ -71,9 +71,8 @@ def test_components_match_all_pairs(make_docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(texts)
 
 
-def test_rounds_windows_and_cut_lists_change_nothing(make_docs, monkeypatch):
-    """A large group of near copies around two centres, with no list of common shingles."""
-    monkeypatch.setattr(jaccard_join, "COMMON_LIST", 0)
+def test_rounds_windows_and_cut_lists_change_nothing(make_docs):
+    """A large group of near copies around two centres."""
     rng = random.Random(5)
     base = [f"v{i}" for i in range(60)]
     texts = []
@@ -109,6 +108,20 @@ def test_odd_rows_and_clashing_columns(odd_docs, clashing, no_docs):
     assert jaccard_join.keep_one(no_docs).count() == 0
 
 
+def test_repeated_and_missing_ids_keep_their_own_links(spark):
+    """Texts that share an id, or have none, link by their own sets, and one row of each component stays."""
+    words = [f"q{i}" for i in range(40)]
+    one, near, other = " ".join(words), " ".join([*words[:-1], "z"]), " ".join(reversed(words))
+    rows = [(5, one), (5, other), (None, near), (None, "lone " * 9), (None, "lone " * 9), (2, other), (7, ""), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(docs)
+    counted = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect())
+    want = [("5", 36, "5"), ("5", 36, "2"), ("None", 36, "5"), ("2", 36, "2")]
+    assert counted == sorted(want + [("None", 1, "None")] * 2 + [("7", 0, "7")] * 2)
+    kept = jaccard_join.keep_one(docs).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("5", one), ("2", other), ("None", "lone " * 9), ("7", "")])
+
+
 def test_shingles_do_not_depend_on_the_batch():
     texts = corpus(3)
     together = [s.tolist() for s in shingle_sets(texts)]
