@@ -6,8 +6,8 @@ class. The join runs over *regions*, sets of classes that a linked pair must sha
 1. With a fixed order of all shingles, two sets of similarity ``t`` share one of their first ``n - ceil(t n) + 1``, and
    what stands before the first one that they share bounds what they can share in all. A class enters a region per
    shingle of its prefix, with the largest partner that its place there allows. Regions drop classes that have no
-   such partner in them. This is done twice: by hash, to find the classes that may have a partner at all, and
-   then, among these, rarest shingles first, which puts a set's own shingles before all that it shares.
+   such partner in them. Rarest shingles come first, which puts a set's own before all that it shares. Only
+   classes take part whose lowest hashes show that enough of their shingles occur elsewhere.
 2. Regions of the same members are one, with the widest bounds of them.
 3. In each region pivots are drawn, the classes with the smallest share of own shingles, which stand in the middle
    of their like. Distances to the region's pivots are exact. A class within the radius ``r`` of a pivot belongs to the
@@ -37,6 +37,9 @@ from reviewlode.llm.common import components, discard, free, map_arrow, small
 from reviewlode.llm.shingles import set_keys, shingle_sets
 from reviewlode.session import fits_broadcast, land
 
+# Share of a set, its lowest hashes, that is stored to tell which sets may have a partner: at least the share by which
+# linked sets may differ.
+LOW_PERCENT, LOW_LEAST = 30, 8
 # Pivots of a region in the first round, how many times more in each next one, and at most.
 FIRST_PIVOTS, MORE_PIVOTS, MOST_PIVOTS = 1, 8, 256
 
@@ -54,12 +57,11 @@ def _map(docs: DataFrame, schema: str, make: Callable, *columns: str) -> DataFra
     return map_arrow(docs.select(*columns), run, schema)
 
 
-def _size(n: int, percent: int) -> int:
-    """Length of a prefix: two sets alike by ``percent`` share one of these, under any fixed order."""
-    return n + (percent * n // -100) + 1 if n else 0
+def _low(n: int) -> int:
+    return LOW_PERCENT * n // 100 + LOW_LEAST
 
 
-def _sets(docs: DataFrame, key: str, text: str, k: int, percent: int, whole: bool = False) -> DataFrame:
+def _sets(docs: DataFrame, key: str, text: str, k: int, whole: bool = False) -> DataFrame:
     """(id, n, a, b, grams): size, two hashes and the lowest hashes, or all, of every row's set."""
 
     def make(ids: pa.Array, texts: list) -> list:
@@ -71,7 +73,7 @@ def _sets(docs: DataFrame, key: str, text: str, k: int, percent: int, whole: boo
             pa.array(sizes, pa.int64()),
             pa.array([x[0] for x in keys], pa.int64()),
             pa.array([x[1] for x in keys], pa.int64()),
-            pa.array([(s if whole else s[: _size(n, percent)]).view(np.int64) for s, n in zip(sets, sizes, strict=True)], pa.list_(pa.int64())),
+            pa.array([(s if whole else s[: _low(n)]).view(np.int64) for s, n in zip(sets, sizes, strict=True)], pa.list_(pa.int64())),
         ]
 
     kind = docs.schema[key].dataType.simpleString()
@@ -99,15 +101,19 @@ def _met(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(per_class: DataFrame, percent: int) -> DataFrame:
-    """(c) of the classes that share a shingle of their prefixes by hash with one of a fitting size."""
-    entries = per_class.select("c", "n", F.posexplode("grams").alias("place", "g"))
-    entries = entries.select("g", "c", "n", _largest(F.col("place"), percent).alias("most"))
-    shared = entries.groupBy("g").agg(
-        F.count(F.lit(1)).alias("members"), F.min("n").alias("least_n"), F.max("most").alias("most_most")
-    )
-    shared = land(shared.where("members > 1 and least_n <= most_most").drop("members"), "shared")
-    met = entries.join(shared, "g").where("least_n <= most and n <= most_most")
-    return land(met.select("c").distinct(), "candidates")
+    """(c) of the classes (c, n, grams) that may have a partner.
+
+    A linked set lacks ``n - ceil(t n)`` of another's ``n`` shingles at most, so all but as many of those that
+    are stored must occur in some other class.
+    """
+    entries = per_class.select("c", F.explode("grams").alias("g"))
+    shared = entries.groupBy("g").agg(F.count(F.lit(1)).alias("times"))
+    shared = land(shared.where("times > 1").select("g"), "shared")
+    common = entries.join(shared, "g").groupBy("c").agg(F.count(F.lit(1)).alias("common"))
+    sizes = per_class.select("c", F.expr(f"size(grams) - n + ceil({percent} * n / 100)").alias("least"))
+    found = land(common.join(sizes, "c").where("common >= least").select("c"), "candidates")
+    discard(per_class.sparkSession, shared)
+    return found
 
 
 def _regions(whole: DataFrame, percent: int) -> DataFrame:
@@ -216,7 +222,7 @@ def _classes(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tupl
     A class is a set with at least one shingle, known by both of its hashes; ``c`` is a number.
     """
     spark = docs.sparkSession
-    per_row = land(_sets(docs, key, text, k, percent), "sets")
+    per_row = land(_sets(docs, key, text, k), "sets")
     classes = per_row.where("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("id"))
     classes = land(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     # The rows of a class hold the same set; that of the smallest id stands for it, or any where none has an id.
@@ -234,7 +240,7 @@ def _classes(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tupl
     texts = texts.select(key, text)
     if some_nameless:
         texts = texts.union(docs.where(F.col(key).isNull()).select(key, text))
-    whole = _sets(texts, key, text, k, percent, whole=True).select("a", "b", "n", "grams")
+    whole = _sets(texts, key, text, k, whole=True).select("a", "b", "n", "grams")
     whole = whole.join(_some(wanted.select("a", "b", "c")), ["a", "b"]).select("c", "n", "grams")
     whole = land(whole.dropDuplicates(["c"]) if repeated else whole, "whole")
     regions = _regions(whole, percent)
