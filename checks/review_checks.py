@@ -150,7 +150,10 @@ def _known_sql(title: str, kept: str) -> str:
 
 
 def _layout(spark, sf_dir, page, comment):
-    """Pages of one layout: titles and addresses escaped, with tags, breaks and references in between."""
+    """Pages of one layout: titles and addresses escaped, with tags, breaks and references in between.
+
+    A text holds elements of its own name, comments and scripts that look like its end.
+    """
     title = F.trim(F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "[ \\t\\r\\n\\f]+", " "))
 
     def escaped(c):
@@ -178,8 +181,8 @@ def a7_site_one(spark, sf_dir):
     )
     comment = (
         '<div class="Comments_commentBody__Tl_lO"><p class="other">no</p>'
-        "<p class='text-justify Typography_caption3__epLLG text-Charcoal'>",
-        '</p><p class="Typography_caption3__epLLG text-Charcoal text-justify">second</p></div>'
+        "<div class='text-justify Typography_caption3__epLLG text-Charcoal'><div><!-- </div> --><script>'</div>'</script>",
+        '</div></div><p class="Typography_caption3__epLLG text-Charcoal text-justify">second</p></div>'
         '<div class="Comments_commentBody__Tl_lO-x">no</div>',
     )
     return P.extract_reviews(_layout(spark, sf_dir, page, comment), P.SITE_ONE)
@@ -194,8 +197,8 @@ def a8_site_two(spark, sf_dir):
     )
     comment = (
         '<div class="comment-card__content"><div class="comment-card__text">no</div>'
-        '<p class="my-comment-card__text">no</p><p class="comment-card__text">',
-        "</p></div>",
+        '<p class="my-comment-card__text">no</p><p class="comment-card__text"><!-- </p> --><style></p></style>',
+        "<div>behind the paragraph</div></p></div>",
     )
     return P.extract_reviews(_layout(spark, sf_dir, page, comment), P.SITE_TWO)
 

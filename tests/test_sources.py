@@ -76,6 +76,34 @@ def test_inner_tags_and_class_names(spark):
     assert P.extract_reviews(frame(spark, '<p class="comment-card__text">x</p>'), P.SITE_TWO).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ("A <div>inner</div> tail words", "A inner\ntail words"),
+        ("<div><div>a</div><div>b</div></div>c", "a\nb\n\nc"),
+        ("a<!-- </div> --> b<script>var x = '</div>';</script> c<style>div{}</div></style>", "a b c"),
+        ("caf&eacute; &notin; &nosuchname; &AMP;lt; &amp;eacute;", "café ∉ &nosuchname; &lt; &eacute;"),
+        ("<DIV>upper</DIV > lower <divider>x</divider>", "upper\nlower x"),
+        ("stray </b> and </span> signs", "stray and signs"),
+    ],
+)
+def test_an_element_ends_at_its_own_closing_tag(spark, inner, text):
+    page = PAGE_ONE.replace(
+        '<p class="other">بی متن</p>', f'<div class="Typography_caption3__epLLG text-Charcoal text-justify">{inner}</div><div>no</div>'
+    )
+    rows = P.extract_reviews(frame(spark, page), P.SITE_ONE).collect()
+    assert rows[1].comment == text and len(rows) == 4
+
+
+def test_paragraphs_end_at_blocks_and_open_elements_give_nothing(spark):
+    comments = "<p class='comment-card__text'>one<div>no</div></p><p class='comment-card__text'>two <b>more<p>no</p>"
+    comments += "<div><p class='comment-card__text'>three</div><p class='comment-card__text'>never closed <b>x"
+    rows = P.extract_reviews(frame(spark, f"<div class='comment-card__content'>{comments}"), P.SITE_TWO).collect()
+    assert [r.comment for r in rows] == ["one", "two more", "three"]
+    open_comment = PAGE_ONE.replace("<h1", "<!-- <h1")
+    assert P.extract_reviews(frame(spark, open_comment), P.SITE_ONE).count() == 0
+
+
 def test_csv_dialect(spark, tmp_path):
     path = tmp_path / "r.csv"
     path.write_text(
@@ -143,7 +171,9 @@ def test_topic_slices_are_replaced_one_by_one(spark, tmp_path):
     sinks.write_topics(spark.createDataFrame([("SAD", "c")], schema), path, replace=True)
     rows = {(r.sentiment, r.topic) for r in spark.read.parquet(path).collect()}
     assert rows == {("HAPPY", "a"), ("SAD", "c")}
-    assert os.path.isdir(f"{path}/sentiment=SAD")
+    # One folder per slice, named by the escaped value, which tells null from a text of that name.
+    assert sum(os.path.isdir(f"{path}/{f}") and "SAD" in f for f in os.listdir(path)) == 1
+    assert [tuple(r) for r in sinks.read_topics(spark, path, sentiment="SAD").collect()] == [("SAD", "c")]
     sinks.write_topics(spark.createDataFrame([("SAD", "d")], schema), path)
     assert [tuple(r) for r in spark.read.parquet(path).select("sentiment", "topic").collect()] == [("SAD", "d")]
 
