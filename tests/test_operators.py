@@ -220,3 +220,15 @@ def test_concatenation_in_chunks(spark):
     chunks = clusters.concat_group(rows, rows_per_chunk=10).orderBy("chunk").collect()
     assert len(chunks) == 3
     assert " ".join(c.text for c in chunks) == " ".join(f"t{i}" for i in range(25))
+
+
+@pytest.mark.parametrize("limit", [2, 100_000])
+def test_samples_and_splits_with_null_and_equal_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(sampling, "_SORTED", limit)
+    for ids in ([None] * 7 + [1, 2, 3], [5] * 10, [1, 1, 2, 2, 2, 2, 2, 2, 3, None]):
+        df = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "review_id long, n int").repartition(3)
+        train, test = sampling.split(df, 0.3)
+        assert train.columns == df.columns and test.count() == 3
+        assert sorted(r.n for r in train.union(test).collect()) == list(range(10))
+        assert sampling.sample_fraction(df, 0.5).count() == 5
+        assert df.where(sampling.split_flag(df, 0.3)).count() >= 3
