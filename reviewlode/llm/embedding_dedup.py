@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlode.llm.common import components, map_arrow, small, workers_find_package
+from reviewlode.llm.common import components, free, map_arrow, small, workers_find_package
 from reviewlode.session import land
 
 EXTRA_BITS = 4
@@ -187,5 +187,6 @@ def near_vectors(
 
 def keep_one(vectors: DataFrame, key: str = "vec_id", **options: str) -> DataFrame:
     """The rows of ``vectors`` that name their component."""
-    kept = near_vectors(vectors, key, **options).where("kept").select(F.col(key).alias("kept_vector")).distinct()
-    return vectors.join(small(kept), F.col(key).eqNullSafe(F.col("kept_vector")), "left_semi")
+    mark = free(vectors.columns, "kept_vector")
+    kept = near_vectors(vectors, key, **options).where("kept").select(F.col(key).alias(mark)).distinct()
+    return vectors.join(small(kept), F.col(key).eqNullSafe(F.col(mark)), "left_semi")

@@ -72,17 +72,18 @@ def _plans(sizes: DataFrame, goals: DataFrame, most: int) -> DataFrame:
 
 def _ranked(docs: DataFrame, plans: DataFrame, on: tuple[str, str], key: str, text: Column, made: dict[str, str]) -> DataFrame:
     """``docs`` with whole copies and the rank of the rest; smaller ranks go first."""
-    plans = plans.toDF("p_source", "p_step", "p_copies")
-    same = F.col(on[0]).eqNullSafe(F.col("p_source")) & (F.col(on[1]) == F.col("p_step"))
-    joined = docs.join(small(plans), same, "left")
-    copies = F.coalesce(F.col("p_copies"), F.lit(0.0))
+    names = [free(docs.columns, n) for n in ("p_source", "p_step", "p_copies")]
+    of, step, number = map(F.col, names)
+    same = F.col(on[0]).eqNullSafe(of) & (F.col(on[1]) == step)
+    joined = docs.join(small(plans.toDF(*names)), same, "left")
+    copies = F.coalesce(number, F.lit(0.0))
     # Copies this near a whole number are whole; their odds would be infinite.
     whole = F.floor(copies + 1e-9)
     rest = F.greatest(copies - whole, F.lit(0.0))
     uniform = (F.pmod(F.xxhash64(F.col(key), text, F.lit(20)), F.lit(2**52)) + 0.5) / float(2**52)
     rank = F.when(rest > 0, F.log(uniform / (1 - uniform)) - F.log(rest / (1 - rest)))
     joined = joined.withColumn(made["whole"], whole.cast("long")).withColumn(made["rank"], rank)
-    return joined.drop("p_source", "p_step", "p_copies")
+    return joined.drop(*names)
 
 
 def _ends(ranked: DataFrame, goals: DataFrame) -> DataFrame:
@@ -145,17 +146,19 @@ def mix(
     own = {"whole": "whole", "rank": "rank"}
     ranked = land(_ranked(sizes, plans, ("source", "step"), "key", F.col("print"), own), "ranks")
     ends = land(_ends(ranked, goals), "ends")
-    out = _ranked(sized.withColumn("p_print", print_of), plans, (source, made["step"]), key, F.col("p_print"), made)
+    mark = free(sized.columns, "p_print")
+    out = _ranked(sized.withColumn(mark, print_of), plans, (source, made["step"]), key, F.col(mark), made).drop(mark)
     facts = goals.join(ends.withColumnRenamed("source", "e"), F.col("source").eqNullSafe(F.col("e")), "left").drop("e")
-    facts = facts.toDF("p_source", "p_size", "p_target", "p_last", "p_below")
-    out = out.drop("p_print").join(small(facts), F.col(source).eqNullSafe(F.col("p_source")), "left")
+    names = [free(out.columns, n) for n in ("p_source", "p_size", "p_target", "p_last", "p_below")]
+    of, of_size, goal, last, upto = map(F.col, names)
+    out = out.join(small(facts.toDF(*names)), F.col(source).eqNullSafe(of), "left")
     rank = F.col(made["rank"])
-    below = F.floor(1.0 / (1.0 + F.exp(-rank)) * BINS) < F.col("p_below") * BINS
-    drawn = F.coalesce(below, F.lit(False)) | F.coalesce(rank <= F.col("p_last"), F.lit(False))
+    below = F.floor(1.0 / (1.0 + F.exp(-rank)) * BINS) < upto * BINS
+    drawn = F.coalesce(below, F.lit(False)) | F.coalesce(rank <= last, F.lit(False))
     copies = F.when(F.col(made["size"]) > 0, F.col(made["whole"]) + drawn.cast("long")).otherwise(F.lit(0).cast("long"))
     out = out.withColumn(made["copies"], copies)
     out = out.withColumn(made["taken"], F.col(made["copies"]) * F.col(made["size"]))
-    out = out.withColumn(made["source_size"], F.col("p_size")).withColumn(made["target"], F.col("p_target"))
+    out = out.withColumn(made["source_size"], of_size).withColumn(made["target"], goal)
     return out.select(*docs.columns, *[made[n] for n in ("size", "source_size", "target", "copies", "taken")])
 
 

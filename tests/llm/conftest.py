@@ -52,7 +52,8 @@ def clashing(odd_docs):
 
     names = (
         "size target copies taken step whole rank source_size score predicted kept base_failed n_words shard slot law "
-        "bucket c a b n g p id key row component_id n_shingles text_crc32 grown_shard symbol_ratio kept_id print"
+        "bucket c a b n g p id key row component_id n_shingles text_crc32 grown_shard symbol_ratio kept_id print "
+        "p_source p_step p_copies p_print p_last p_size p_target p_below kept_vector kept_row of low grams"
     )
     return odd_docs.withColumns({n: F.lit(7) for n in names.split()})
 

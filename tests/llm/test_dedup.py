@@ -122,6 +122,14 @@ def test_repeated_and_missing_ids_keep_their_own_links(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("5", one), ("2", other), ("None", "lone " * 9), ("7", "")])
 
 
+def test_one_vector_stays_beside_clashing_names(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.001], 0), (3, [0.0, 1.0], 0), (4, None, 0)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    clash = vectors.withColumns({n: F.lit(7) for n in ("kept_vector", "kept", "id", "c", "v", "t", "n_links")})
+    kept = embedding_dedup.keep_one(clash)
+    assert kept.columns == clash.columns and sorted(r.vec_id for r in kept.collect()) == [1, 3, 4]
+
+
 def test_shingles_do_not_depend_on_the_batch():
     texts = corpus(3)
     together = [s.tolist() for s in shingle_sets(texts)]
