@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from checks import data as D
 from checks.registry import check
 from reviewlode.functions import text as X
+from reviewlode.operators import lemmas
 from reviewlode.operators import tokens as T
+from reviewlode.session import land
 
 
 def _text(name: str, spark_value: Callable[[Column], Column], sql_value: str, sql_source: str = "fa") -> None:
@@ -120,6 +122,51 @@ def h19_clean_lemma(spark, sf_dir):
     return T.clean_lemma(rows, D.lexicon(spark, sf_dir))
 
 
+# Words of the lexicon that occur twice play the unseen ones; rules come from all others.
+_RULES_SQL = (
+    D.LEXICON_SQL
+    + """,
+seen AS (SELECT * FROM best WHERE freq > 2),
+edits AS (SELECT token, upos, length(token) - same AS cut, substring(lemma, same + 1) AS added FROM (SELECT *,
+  len(list_filter(range(1, 1 + least(length(token), length(lemma))), lambda i: left(token, i) = left(lemma, i))) AS same FROM seen)),
+votes AS (SELECT right(token, n) AS ending, cut, added, upos, count(*) AS words
+  FROM edits, range(1, 6) t(n) WHERE n >= cut AND n < length(token) GROUP BY ALL),
+rules AS (SELECT ending, cut, added, upos, words, total FROM (SELECT *, sum(words) OVER (PARTITION BY ending) AS total FROM votes)
+  WHERE total >= 2 QUALIFY row_number() OVER (PARTITION BY ending ORDER BY words DESC, added DESC, cut DESC, upos DESC) = 1)"""
+)
+
+
+def _seen(spark, sf_dir):
+    entries = T.best_entries(D.lexicon(spark, sf_dir)).join(
+        D.lexicon(spark, sf_dir).groupBy("token").agg(F.max("freq").alias("freq")), "token"
+    )
+    entries = land(entries, "entries")
+    return entries.where("freq > 2"), entries.where("freq = 2")
+
+
+@check(
+    "h19_ending_rules",
+    D.with_sql(_RULES_SQL)
+    + " SELECT ending, CAST(cut AS INTEGER) AS cut, added, upos, words, CAST(total AS BIGINT) AS total FROM rules",
+)
+def h19_ending_rules(spark, sf_dir):
+    """The commonest edit and tag of every ending of the known words."""
+    return lemmas.ending_rules(_seen(spark, sf_dir)[0])
+
+
+@check(
+    "h19_guess_lemmas",
+    D.with_sql(_RULES_SQL)
+    + """ SELECT token, left(token, length(token) - cut) || added AS lemma, upos FROM (SELECT b.token, r.*
+      FROM best b, range(1, 6) t(n), rules r WHERE b.freq = 2 AND n < length(b.token) AND r.ending = right(b.token, n)
+      QUALIFY row_number() OVER (PARTITION BY b.token ORDER BY n DESC) = 1)""",
+)
+def h19_guess_lemmas(spark, sf_dir):
+    """Lemma and tag of every held-out word whose ending has a rule."""
+    seen, held_out = _seen(spark, sf_dir)
+    return lemmas.guess(held_out, land(lemmas.ending_rules(seen), "rules"))
+
+
 @check(
     "h22_pad_left",
     # Every row has the longest length; zeros are all in front, as words have letters.

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlode.functions import text as X
-from reviewlode.operators import phrases, vectors
+from reviewlode.operators import lemmas, phrases, vectors
 from reviewlode.operators import tokens as T
 
 
@@ -175,3 +175,29 @@ def test_explosion_does_not_repeat_the_array_expression(spark):
     )
     plan = T.token_counts(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_unseen_words_get_lemmas_by_their_endings(spark):
+    known = [("walking", "walk", "VERB"), ("talking", "talk", "VERB"), ("houses", "house", "NOUN"), ("cars", "car", "NOUN")]
+    known += [("ring", "ring", "NOUN"), ("cities", "city", "NOUN"), ("parties", "party", "NOUN"), ("went", "go", "VERB"), ("a", "a", "DET")]
+    entries = spark.createDataFrame([(*k, 5) for k in known] + [(None, "x", "X", 1), ("y", None, None, 1)], "token string, lemma string, upos string, freq long")
+    rules = {r.ending: (r.cut, r.added, r.upos, r.words, r.total) for r in lemmas.ending_rules(entries).collect()}
+    assert rules["ing"] == (3, "", "VERB", 2, 3) and rules["s"] == (1, "", "NOUN", 2, 2) and rules["ies"] == (3, "y", "NOUN", 2, 2)
+    assert "rs" not in rules and "went" not in rules  # one word only, and no ending that holds the whole cut
+    texts = spark.createDataFrame([(1, "singing ladies, cars walking 12 zzz s")], "review_id long, comment string")
+    full = lemmas.with_guesses(texts, entries)
+    got = {r.token: (r.lemma, r.upos) for r in full.where("freq = 0").collect()}
+    assert got == {"singing": ("sing", "VERB"), "ladies": ("lady", "NOUN")}
+    tagged = T.annotate(texts, full).first().tokens
+    assert [t.lemma for t in tagged if t.upos != "X"] == ["sing", "lady", "car", "walk"]
+    assert lemmas.guess(texts.select(F.lit("x").alias("token")).limit(0), lemmas.ending_rules(entries)).count() == 0
+
+
+def test_held_out_words_get_their_lemma(spark):
+    """Regular words, a third of them held out: all endings are covered, so every lemma and tag comes back."""
+    rows = [(f"{stem}{a}{ending}", f"{stem}{a}{base}", tag) for stem in ("tal", "mor", "bin", "kur") for a in "abcdefg" for ending, base, tag in (("ten", "t", "VERB"), ("nisse", "nis", "NOUN"), ("lich", "", "ADJ"))]
+    known = spark.createDataFrame([(*r, 1) for i, r in enumerate(rows) if i % 3 != i // 3 % 3], "token string, lemma string, upos string, freq long")
+    unseen = [r for i, r in enumerate(rows) if i % 3 == i // 3 % 3]
+    words = spark.createDataFrame([(r[0],) for r in unseen], "token string")
+    got = {r.token: (r.lemma, r.upos) for r in lemmas.guess(words, lemmas.ending_rules(known)).collect()}
+    assert got == {t: (lemma, tag) for t, lemma, tag in unseen}
