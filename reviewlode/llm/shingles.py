@@ -27,7 +27,7 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers.get(kind, ())) < n:
+    if kind not in _powers or len(_powers[kind]) < n:
         steps = np.full(max(n, CHUNK + 1024), base, np.uint64)
         steps[0] = 1
         _powers[kind] = np.cumprod(steps)

@@ -181,3 +181,10 @@ def test_tables_keep_the_recall_promised():
         assert (1 - meet) ** tables <= 1.01e-5
 
 
+
+
+def test_empty_text_comes_first(monkeypatch):
+    from reviewlode.llm import shingles
+
+    monkeypatch.setattr(shingles, "_powers", {})
+    assert [s.tolist() for s in shingle_sets([None])] == [[]] and len(next(iter(shingle_sets(["a b"])))) == 1
