@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -32,6 +33,12 @@ def work_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Let Python workers look for this package where the driver has it, or as it was shipped."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def land(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which cuts its lineage.
 
