@@ -29,8 +29,6 @@ REACH = 4.0
 SKETCH_SIZE = 4000
 # Rows at which a group's own fence weighs as much as what it starts from.
 FULL = 100
-# Groups of fewer rows never reject a row inside their own median and lower spread.
-FEW = 30
 
 
 @dataclass(frozen=True)
@@ -151,8 +149,8 @@ def limits(sketched: DataFrame, groups: list[str]) -> DataFrame:
     stored = land(sketched, "sketches")
     above: DataFrame | None = None
     for depth in range(len(groups) + 1):
-        on, last = groups[:depth], depth == len(groups)
-        level = stored if last else merge_sketches([stored], on)
+        on = groups[:depth]
+        level = stored if depth == len(groups) else merge_sketches([stored], on)
         if above is None:
             start = {r.name: F.lit(r.floor) for r in RULES}
         else:
@@ -161,11 +159,11 @@ def limits(sketched: DataFrame, groups: list[str]) -> DataFrame:
             same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(marks[g])) for g in on[:-1]], F.lit(True))
             level = level.join(outer, same, "left")
             start = {r.name: F.col(marks[r.name]) for r in RULES}
-        above = level.select(*on, *[_fence(r, start[r.name], depth > 1, last).alias(r.name) for r in RULES])
+        above = level.select(*on, *[_fence(r, start[r.name], depth > 1).alias(r.name) for r in RULES])
     return above
 
 
-def _fence(rule: Rule, start: Column, part: bool, last: bool) -> Column:
+def _fence(rule: Rule, start: Column, part: bool) -> Column:
     """The fence of a sketch's rows, moved from ``start`` by their number."""
     n = F.kll_sketch_get_n_double(rule.name)
     low, middle, high = (F.kll_sketch_get_quantile_double(rule.name, F.lit(q)) for q in (0.1, 0.5, 0.9))
@@ -174,10 +172,7 @@ def _fence(rule: Rule, start: Column, part: bool, last: bool) -> Column:
     weight = n / (n + F.lit(FULL))
     if part:
         weight = weight * F.least(F.lit(1.0), F.pow(start / own, F.lit(2.0)))
-    fence = start + weight * (own - start)
-    if last:
-        fence = F.when(n < FEW, F.greatest(fence, middle + REACH * (middle - low))).otherwise(fence)
-    return F.when(n > 0, fence).otherwise(start)
+    return F.when(n > 0, start + weight * (own - start)).otherwise(start)
 
 
 def judge(measured: DataFrame, names: dict[str, str], fences: DataFrame, groups: list[str]) -> DataFrame:

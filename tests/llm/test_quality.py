@@ -34,25 +34,46 @@ def test_counts_match_plain_ones(spark, odd_docs):
         assert tuple(row[n] for n in names) == plain_counts(row.text), row.text[:60]
 
 
+def plain_fence(rule, values, start, part):
+    """The fence of a group's values; a sketch of so few is exact: the smallest value with this share at or below it."""
+    values = sorted(values)
+    low, middle, high = (values[max(0, -(-tenths * len(values) // 10) - 1)] for tenths in (1, 5, 9))
+    upper = max(rule.step, min(2 * rule.step, high - middle))
+    own = middle + quality_rules.REACH * max(middle - low, upper)
+    weight = len(values) / (len(values) + quality_rules.FULL)
+    if part:
+        weight *= min(1.0, (start / own) ** 2)
+    return start + weight * (own - start)
+
+
+def test_a_lone_junk_document_fails(make_docs):
+    clean = [(" ".join(f"word{i}x{j}" for j in range(30)), "en", "plain") for i in range(20)]
+    junk = [(" ".join(f"a{j}" for j in range(30)) + " ##### ####" * 7, lang, "alone") for lang in ("en", "xx", None)]
+    kept = quality_rules.verdicts(make_docs(clean + junk)).select("source", "base_failed", "kept").collect()
+    assert all(r.kept == (r.source == "plain") for r in kept) and not any(r.base_failed for r in kept if r.source == "plain")
+
+
 def test_verdict_follows_the_fences(spark):
     rows = {r.doc_id: r for r in queries.op6_quality_rules(spark, SF).collect()}
     texts = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert set(rows) == set(texts)
-    groups = {}
     for i, row in rows.items():
         assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == plain_counts(texts[i].text)
         assert row.base_failed == (row.n_words < 10 or 100 * row.n_repeat_words > 20 * row.n_words)
-        groups.setdefault((texts[i].lang, texts[i].source), []).append(row)
-    for members in groups.values():
-        inside = {r.doc_id: not r.base_failed for r in members}
-        for rule in quality_rules.RULES:
-            # A sketch of so few values is exact: the smallest value with this share at or below it.
-            values = sorted(r[rule.name] for r in members)
-            low, middle = (values[max(0, -(-int(q * 10) * len(values) // 10) - 1)] for q in (0.1, 0.5))
-            fence = max(rule.floor, middle + quality_rules.REACH * (middle - low))
-            for r in members:
-                inside[r.doc_id] &= r[rule.name] <= fence
-        assert inside == {r.doc_id: r.kept for r in members}
+    inside = {i: not r.base_failed for i, r in rows.items()}
+    for rule in quality_rules.RULES:
+        levels = [{}, {}, {}]
+        for i, row in rows.items():
+            for level, key in zip(levels, [(), (texts[i].lang,), (texts[i].lang, texts[i].source)]):
+                level.setdefault(key, []).append(row[rule.name])
+        fences = {}
+        for depth, level in enumerate(levels):
+            for key, values in level.items():
+                start = fences[key[:-1]] if depth else rule.floor
+                fences[key] = plain_fence(rule, values, start, depth > 1)
+        for i, row in rows.items():
+            inside[i] &= row[rule.name] <= fences[texts[i].lang, texts[i].source]
+    assert inside == {i: r.kept for i, r in rows.items()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     good = [rows[i].kept for i in labels if labels[i] == 1 and not rows[i].base_failed]
     assert sum(good) >= 0.99 * len(good)
