@@ -13,9 +13,8 @@ from reviewlode.operators import clusters, sampling, sentiment, topics, vectors
 from reviewlode.plans import scoring, themes
 from reviewlode.session import land
 
-# Few iterations for single fits; searches run the published spaces until each fit settles.
+# Few iterations for single classifiers; searches and topic models run until each fit settles.
 ITERATIONS = 30
-TOPIC_ITERATIONS = 10
 
 # --- vectors ---------------------------------------------------------------------------------
 
@@ -279,62 +278,65 @@ def i20_noun_texts(spark, sf_dir):
 @check("i13_fit_topics")
 def i13_fit_topics(spark, sf_dir):
     texts = _texts(spark, sf_dir)
-    model = topics.fit_topics(texts, k=7, stop=_stop(spark, sf_dir), max_iter=TOPIC_ITERATIONS)
+    model = topics.fit_topics(texts, k=7, stop=_stop(spark, sf_dir, labelled=False))
     return topics.topic_table(spark, model, 4)
 
 
+def _word_topics(spark, sf_dir):
+    """Five topics over the words of all documents."""
+    return topics.fit_topics(D.reviews(spark, sf_dir), k=5, ngram_range=(1, 1))
+
+
 @check("d10_topic_importance")
 def d10_topic_importance(spark, sf_dir):
-    rows = D.labelled(spark, sf_dir)
-    model = topics.fit_topics(rows, k=5, ngram_range=(1, 1), max_iter=TOPIC_ITERATIONS)
-    weights = list(enumerate(topics.topic_importance(model)))
+    weights = list(enumerate(topics.topic_importance(_word_topics(spark, sf_dir))))
     return spark.createDataFrame(weights, "topic_id int, importance double")
 
 
+@check(
+    "d10_importance_total",
+    D.with_sql(D.REVIEWS_SQL)
+    + f""", terms AS (SELECT review_id, unnest({D.sql_model_tokens('comment')}) AS term FROM reviews),
+    n AS (SELECT count(*) AS docs FROM reviews),
+    kept AS (SELECT term, count(*) AS places FROM terms, n GROUP BY term, docs
+      HAVING count(DISTINCT review_id) BETWEEN greatest(2, docs // 50) AND 0.8 * docs)
+    SELECT CAST(count(*) AS BIGINT) AS terms, CAST(round(5 * 0.5 * count(*) + sum(places)) AS BIGINT) AS importance FROM kept""",
+)
+def d10_importance_total(spark, sf_dir):
+    """Topic weights are the prior and every place of every term, shared out among the topics."""
+    model = _word_topics(spark, sf_dir)
+    total = round(sum(topics.topic_importance(model)))
+    return spark.createDataFrame([(len(model.ids), total)], "terms long, importance long")
+
+
 @check("f1_top_terms")
 def f1_top_terms(spark, sf_dir):
-    rows = D.labelled(spark, sf_dir)
-    model = topics.fit_topics(rows, k=5, ngram_range=(1, 1), max_iter=TOPIC_ITERATIONS)
-    return spark.createDataFrame(list(enumerate(topics.top_terms(model, 4))), "topic_id int, terms string")
+    terms = topics.top_terms(_word_topics(spark, sf_dir), 4)
+    return spark.createDataFrame(list(enumerate(terms)), "topic_id int, terms string")
 
 
 @check("i14_topics_by_sentiment")
 def i14_topics_by_sentiment(spark, sf_dir):
-    stop = _stop(spark, sf_dir)
-    return themes.sentiment_topics(
-        D.reviews_fa(spark, sf_dir), D.lexicon_fa(spark, sf_dir), stop, max_iter=TOPIC_ITERATIONS
-    )
+    return themes.sentiment_topics(D.reviews_fa(spark, sf_dir), D.lexicon_fa(spark, sf_dir), _stop(spark, sf_dir))
 
 
 @check("i15_topics_by_group")
 def i15_topics_by_group(spark, sf_dir):
-    stop = _stop(spark, sf_dir)
-    return themes.room_topics(
-        D.reviews_fa(spark, sf_dir), D.lexicon_fa(spark, sf_dir), stop, max_iter=5
-    )
+    return themes.room_topics(D.reviews_fa(spark, sf_dir), D.lexicon_fa(spark, sf_dir), _stop(spark, sf_dir))
 
 
 @check("i16_topic_grid")
 def i16_topic_grid(spark, sf_dir):
-    _, _, scores = topics.topic_grid(
-        D.labelled(spark, sf_dir),
-        vectorisers={"max_df": [0.6], "min_df": [5], "ngram_range": [(1, 1)]},
-        settings={"k": [3, 5], "max_iter": [5], "doc_prior": [0.1], "word_prior": [0.1]},
-        folds=2,
-    )
-    return scores
+    """The published search, 18 vectorisers, 81 settings and three folds, over the pairs of all documents."""
+    texts = _texts(spark, sf_dir, phrase="pairs", min_words=0, map_letters=False, keep_empty=True)
+    return topics.topic_grid(texts, _stop(spark, sf_dir, labelled=False))[2]
 
 
 @check("a14_topic_rows")
 def a14_topic_rows(spark, sf_dir):
+    """The published search per sentiment."""
     return themes.searched_topics(
-        D.reviews_fa(spark, sf_dir),
-        D.lexicon_fa(spark, sf_dir),
-        _stop(spark, sf_dir),
-        ["HAPPY", "SAD"],
-        vectorisers={"max_df": [0.7], "min_df": [2], "ngram_range": [(1, 2)]},
-        settings={"k": [3], "max_iter": [5], "doc_prior": [0.1], "word_prior": [0.1]},
-        folds=2,
+        D.reviews_fa(spark, sf_dir), D.lexicon_fa(spark, sf_dir), _stop(spark, sf_dir), ["HAPPY", "SAD"]
     )
 
 
