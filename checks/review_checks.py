@@ -279,11 +279,11 @@ def g1_union_all(spark, sf_dir):
 
 @check(
     "b10_normalise_names",
-    "SELECT r_regionkey AS region_key, r_name AS region_name FROM region",
+    "SELECT page_id, url AS page_url, html AS page_text FROM pages",
 )
 def b10_normalise_names(spark, sf_dir):
-    rows = D.table(spark, sf_dir, "region").select(
-        F.col("r_regionkey").alias(" Region Key"), F.col("r_name").alias("REGION name ")
+    rows = D.pages(spark, sf_dir).select(
+        F.col("page_id").alias(" Page ID"), F.col("url").alias("PAGE url "), F.col("html").alias("Page Text")
     )
     return readers.normalise_names(rows)
 

@@ -152,6 +152,9 @@ def fit_hashed_tfidf(df: DataFrame, features: int, n: int, terms: str = "terms",
 # Running words that one task learns word vectors from, and the tasks at most.
 WORDS_PER_TASK, MOST_TASKS = 500_000, 256
 
+# Passes over the corpus, whatever its size.
+WORD_PASSES = 8
+
 
 def fit_word_vectors(
     df: DataFrame,
@@ -161,11 +164,12 @@ def fit_word_vectors(
     min_count: int = 1,
     seed: int = 42,
     weight_limit: int = WORD_VECTOR_LIMIT,
+    passes: int = WORD_PASSES,
 ) -> Word2VecModel:
-    """Word vectors learned on the corpus; a text's vector is their mean.
+    """Word vectors learned on the corpus in ``passes`` passes; a text's vector is their mean.
 
     Training holds one vector per word on every executor, so the number of words is checked first. Tasks
-    grow with the corpus; as each learns from its own part, the passes over the data grow with them.
+    grow with the corpus, each learns from its own part, and vectors are merged after every pass.
     """
     words = df.select(F.explode_outer(tokens).alias("w")).filter("w IS NOT NULL").groupBy("w").count()
     kept, places = words.filter(F.col("count") >= min_count).agg(F.count("w"), F.sum("count")).first()
@@ -181,7 +185,7 @@ def fit_word_vectors(
         inputCol=tokens,
         outputCol=output,
         numPartitions=parts,
-        maxIter=min(parts, 8),
+        maxIter=passes,
     ).fit(df.select(tokens))
 
 
