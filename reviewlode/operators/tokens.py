@@ -17,6 +17,9 @@ STOP_LITERALS = 20_000
 
 UNKNOWN_TAG = "X"
 
+# Characters of text that a user's tagger gets at a time.
+TAGGED_CHARS = 1 << 18
+
 ANNOTATED = "array<struct<sent:int,pos:int,text:string,lemma:string,upos:string>>"
 
 
@@ -106,19 +109,23 @@ def annotate_with(
     """The same table from a user's own tagger.
 
     ``tagger`` gets a batch of texts and returns, per text, a list of
-    ``(sent, pos, text, lemma, upos)`` tuples. It is applied batch by batch inside the tasks.
+    ``(sent, pos, text, lemma, upos)`` tuples. It is applied inside the tasks, to texts of about
+    ``TAGGED_CHARS`` characters at a time, so that a task never holds the tuples of more.
     """
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fields = ("sent", "pos", "text", "lemma", "upos")
         for batch in batches:
-            tagged = tagger(batch[column])
-            yield pd.DataFrame(
-                {
-                    key: batch[key].to_numpy(),
-                    "tokens": [[dict(zip(fields, t)) for t in row] for row in tagged],
-                }
-            )
+            chars = batch[column].str.len().fillna(0).cumsum()
+            for _, part in batch.groupby((chars // TAGGED_CHARS).to_numpy(), sort=False):
+                part = part.reset_index(drop=True)
+                tagged = tagger(part[column])
+                yield pd.DataFrame(
+                    {
+                        key: part[key].to_numpy(),
+                        "tokens": [[dict(zip(fields, t)) for t in row] for row in tagged],
+                    }
+                )
 
     key_type = df.schema[key].dataType.simpleString()
     return df.select(key, column).mapInPandas(tag, f"{key} {key_type}, tokens {ANNOTATED}")

@@ -201,3 +201,16 @@ def test_held_out_words_get_their_lemma(spark):
     words = spark.createDataFrame([(r[0],) for r in unseen], "token string")
     got = {r.token: (r.lemma, r.upos) for r in lemmas.guess(words, lemmas.ending_rules(known)).collect()}
     assert got == {t: (lemma, tag) for t, lemma, tag in unseen}
+
+
+def test_own_tagger_gets_few_texts_at_a_time(spark, monkeypatch):
+    def tagger(texts: pd.Series) -> pd.Series:
+        assert list(texts.index) == list(range(len(texts)))
+        return texts.map(lambda t: [(0, len(texts), t or "", "", "X")])
+
+    monkeypatch.setattr(T, "TAGGED_CHARS", 10)
+    texts = ["a" * 4, None, "b" * 4, "", "c" * 30, "d"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "review_id long, comment string").coalesce(1)
+    found = {r.review_id: r.tokens[0] for r in T.annotate_with(rows, tagger).collect()}
+    assert [found[i].text for i in range(6)] == [t or "" for t in texts]
+    assert max(t.pos for t in found.values()) == 4 and found[4].pos <= 2
