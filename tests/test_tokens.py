@@ -214,3 +214,27 @@ def test_own_tagger_gets_few_texts_at_a_time(spark, monkeypatch):
     found = {r.review_id: r.tokens[0] for r in T.annotate_with(rows, tagger).collect()}
     assert [found[i].text for i in range(6)] == [t or "" for t in texts]
     assert max(t.pos for t in found.values()) == 4 and found[4].pos <= 2
+
+
+def test_words_looked_up_block_by_block(spark, monkeypatch):
+    """Words do not move one by one, and any number of blocks agrees."""
+    texts = ["خوب اتاق!؟ خوب... a?b", None, "", "zz zz", "اتاق"] * 40
+    rows = spark.createDataFrame([(None if i % 7 == 0 else i % 50, t) for i, t in enumerate(texts)], "review_id long, comment string")
+    entries = lexicon(spark).unionByName(
+        spark.createDataFrame([("?", None, "P", 3), ("!؟", "x", None, 1), (None, "n", "N", 9)], lexicon(spark).schema)
+    )
+    wanted = {
+        texts[0]: [
+            (0, 0, "خوب", "خوب", "ADJ"), (0, 1, "اتاق", "اتاق", "NOUN"), (1, 0, "خوب", "خوب", "ADJ"), (2, 0, "a", "a", "X"),
+            (3, 0, "b", "b", "X"),
+        ],
+        "zz zz": [(0, 0, "zz", "zz", "X"), (0, 1, "zz", "zz", "X")],
+        "اتاق": [(0, 0, "اتاق", "اتاق", "NOUN")],
+    }
+    expected = sorted((-1 if i % 7 == 0 else i % 50, wanted.get(t, [])) for i, t in enumerate(texts))
+    for size in (T.BLOCK_BYTES, 10):
+        monkeypatch.setattr(T, "BLOCK_BYTES", size)
+        found = T.annotate(rows, entries)
+        assert sorted((-1 if r.review_id is None else r.review_id, [tuple(t) for t in r.tokens]) for r in found.collect()) == expected
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroups" in plan and plan.count("Generate") == 1
