@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StructField, StructType
 
 from reviewlode.functions import text as X
 from reviewlode.operators.blocks import in_blocks, lookup_words
@@ -22,8 +22,8 @@ STOP_LITERALS = 20_000
 
 UNKNOWN_TAG = "X"
 
-# Bytes of text in the blocks that words are looked up in.
-BLOCK_BYTES = 8 << 20
+# Size of the blocks that words are looked up in: bytes of text, and words.
+BLOCK_BYTES, BLOCK_WORDS = 8 << 20, 1 << 20
 
 # Characters of text that a user's tagger gets at a time.
 TAGGED_CHARS = 1 << 18
@@ -192,12 +192,24 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", key: str = "review_id") -
 def encode_tokens(
     df: DataFrame, vocab: DataFrame, tokens: str = "tokens", key: str = "review_id", name: str = "ids"
 ) -> DataFrame:
-    """Replace tokens by vocabulary ids, in order; unknown tokens are dropped, null arrays become empty."""
-    placed = df.select(key, tokens).withColumn("_row", F.monotonically_increasing_id()).repartition("_row")
-    exploded = placed.select("_row", key, F.posexplode_outer(tokens).alias("_pos", "token"))
-    ids = lookup_join(exploded, vocab.select("token", "id"), "token", "left", spread_by=["_row", "_pos"])
-    known = F.when(F.col("id").isNotNull(), F.struct("_pos", F.col("id").cast("int").alias("id")))
-    return ids.groupBy("_row", key).agg(_in_order(known, "id").alias(name)).drop("_row")
+    """Replace tokens by vocabulary ids, in order; unknown tokens are dropped, null arrays become empty.
+
+    Tokens are looked up block by block, see :mod:`blocks`.
+    """
+    schema = StructType([df.schema[key], StructField(name, ArrayType(IntegerType()))])
+
+    def find(texts: pa.Table, known: pa.Table) -> pa.Table:
+        lists = texts["_tokens"].combine_chunks()
+        at = pc.index_in(lists.flatten(), value_set=known["token"].combine_chunks())
+        found = known["_ids"].combine_chunks().take(at)
+        ids = found.flatten()
+        ends = _offsets(pc.fill_null(pc.list_value_length(found), 0))[_offsets(pc.list_value_length(lists))]
+        return pa.table([texts[key], pa.ListArray.from_arrays(pa.array(ends), ids)], names=[key, name])
+
+    entries = vocab.groupBy("token").agg(F.sort_array(F.collect_list(F.col("id").cast("int"))).alias("_ids"))
+    blocks = in_blocks(df.select(key, tokens), F.greatest(F.size(tokens), F.lit(0)), BLOCK_WORDS)
+    whole = F.coalesce(tokens, F.array().cast(df.schema[tokens].dataType)).alias("_tokens")
+    return lookup_words(blocks, F.col(tokens), entries, [F.col(key), whole], find, schema)
 
 
 def max_len(df: DataFrame, ids: str = "ids") -> DataFrame:

@@ -238,3 +238,15 @@ def test_words_looked_up_block_by_block(spark, monkeypatch):
         assert sorted((-1 if r.review_id is None else r.review_id, [tuple(t) for t in r.tokens]) for r in found.collect()) == expected
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "FlatMapCoGroups" in plan and plan.count("Generate") == 1
+
+
+def test_ids_looked_up_block_by_block(spark, monkeypatch):
+    tokens = [["a", "b", None, "a"], [], None, ["q"], ["b", "c"]]
+    rows = spark.createDataFrame([(i % 3 or None, t) for i, t in enumerate(tokens)], "review_id long, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("b", 5), ("c", None), (None, 7)], "token string, id long")
+    for size in (T.BLOCK_WORDS, 1):
+        monkeypatch.setattr(T, "BLOCK_WORDS", size)
+        found = T.encode_tokens(rows, vocab)
+        assert sorted((r.review_id or 0, r.ids) for r in found.collect()) == [(0, []), (0, [1, 2, 5, 1]), (1, []), (1, [2, 5]), (2, [])]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroups" in plan and plan.count("Generate") == 1
