@@ -179,10 +179,17 @@ def h22_pad_left(spark, sf_dir):
     lengths = F.transform(X.words(F.col("text")), lambda w: F.length(w))
     rows = D.documents(spark, sf_dir).select(F.col("doc_id").alias("review_id"), lengths.alias("ids"))
     padded = T.pad_sequences(rows, "ids")
-    placed = F.transform("ids", lambda x, i: x.cast("long") * (i + 1))
-    return padded.select(
-        "review_id",
-        F.size("ids").cast("long").alias("length"),
-        F.size(F.filter("ids", lambda x: x == 0)).cast("long").alias("zeros"),
-        F.aggregate(placed, F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum"),
-    )
+
+    def digest(ids):
+        def counted(zeros):
+            # Zeros add nothing to the checksum, so only what stands behind them is summed entry by entry.
+            entries = F.transform(F.slice(ids, zeros + 1, F.size(ids)), lambda x, i: x.cast("long") * (i + zeros + 1))
+            return F.struct(
+                F.size(ids).cast("long").alias("length"),
+                zeros.cast("long").alias("zeros"),
+                F.aggregate(entries, F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum"),
+            )
+
+        return X.let(F.size(ids) - F.size(F.array_remove(ids, 0)), counted)
+
+    return padded.select("review_id", X.let(F.col("ids"), digest).alias("d")).select("review_id", "d.*")
