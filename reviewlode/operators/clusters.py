@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlode.functions import text as X
 from reviewlode.operators.vectors import fit_word_vectors
+from reviewlode.operators.word_vectors import WordVectors
 from reviewlode.session import for_training, land
 
 
@@ -20,7 +20,7 @@ def embed(
     seed: int = 42,
     name: str = "embedding",
     min_count: int = 1,
-) -> tuple[DataFrame, Word2VecModel]:
+) -> tuple[DataFrame, WordVectors]:
     """Mean word vector of every text, from vectors learned on the same corpus."""
     model = fit_word_vectors(df, tokens, "_vector", size, min_count, seed)
     vectors = model.transform(df).withColumn(name, vector_to_array("_vector", "float32"))
