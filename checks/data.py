@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlode.functions import text as X
+from reviewlode.operators.surface import surface_counts
 from reviewlode.operators.tokens import word_list
 
 # Raw room types by source, with the flaws real pages show: outer blanks, Arabic letters, joiners.
@@ -136,10 +137,7 @@ def lexicon_fa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexicon(texts: DataFrame, lemma: str, tag: str) -> DataFrame:
-    tokens = texts.select(
-        "lang", F.explode(F.transform(X.tokenise(F.col("text")), lambda t: t["text"])).alias("token")
-    )
-    counts = tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("freq")).filter("freq >= 2")
+    counts = surface_counts(texts, "lang", "text").withColumnRenamed("n", "freq").filter("freq >= 2")
     words = counts.filter(F.col("token").rlike(r"\A\p{L}"))
     return words.select("token", F.expr(lemma).alias("lemma"), F.expr(tag).alias("upos"), "freq")
 

@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from reviewlode.operators.surface import kinds, surface_tokens
 from reviewlode.session import land, workers_find_package
 
 
@@ -25,17 +27,36 @@ def in_blocks(df: DataFrame, weight: Column, most: int) -> DataFrame:
     return stored.withColumn("_block", F.pmod(F.xxhash64(*df.columns), F.lit(blocks))).repartition("_block")
 
 
+def words_of_blocks(blocks: DataFrame, words: Column) -> DataFrame:
+    """``_block, token``: the distinct entries of an array column in each block."""
+    held = blocks.select("_block", F.explode_outer(words).alias("token"))
+    return held.where("token IS NOT NULL").distinct()
+
+
+def surface_of_blocks(blocks: DataFrame, column: str) -> DataFrame:
+    """``_block, token``: the distinct surface tokens of each block's texts."""
+    workers_find_package(blocks.sparkSession)
+    table_of = kinds(blocks.sparkSession)
+
+    def distinct(texts: pa.Table) -> pa.Table:
+        found = pc.unique(surface_tokens(texts[column].combine_chunks(), table_of).words)
+        words = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)
+        return pa.table([texts["_block"][:1], words], names=["_block", "words"])
+
+    held = blocks.select("_block", column).groupBy("_block").applyInArrow(distinct, "_block long, words array<string>")
+    return held.select("_block", F.explode("words").alias("token"))
+
+
 def lookup_words(
     blocks: DataFrame,
-    words: Column,
+    held: DataFrame,
     entries: DataFrame,
     columns: list[Column],
     find: Callable[[pa.Table, pa.Table], pa.Table],
     schema: StructType,
 ) -> DataFrame:
-    """``find`` of each block's ``columns`` and of the ``entries`` (token, ...) for its ``words``, one per token."""
+    """``find`` of each block's ``columns`` and of the ``entries`` (token, ...), one per token, for what it ``held``."""
     workers_find_package(blocks.sparkSession)
-    held = blocks.select("_block", F.explode_outer(words).alias("token")).where("token IS NOT NULL").distinct()
     known = held.join(entries, "token").withColumnRenamed("_block", "_of")
     texts = blocks.select("_block", *columns)
     return texts.groupBy("_block").cogroup(known.groupBy("_of")).applyInArrow(find, schema)

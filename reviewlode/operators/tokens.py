@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StructField, StructType
 
 from reviewlode.functions import text as X
-from reviewlode.operators.blocks import in_blocks, lookup_words
+from reviewlode.operators.blocks import in_blocks, lookup_words, surface_of_blocks, words_of_blocks
 from reviewlode.operators.skew import lookup_join, number_rows
+from reviewlode.operators.surface import kinds, surface_tokens
 from reviewlode.session import land
 
 # A stop list up to this size becomes a literal set; a longer one is joined.
@@ -90,28 +91,22 @@ def annotate(
     array. Words are looked up block by block, see :mod:`blocks`.
     """
     schema = StructType([df.schema[key], StructField("tokens", DataType.fromDDL(ANNOTATED))])
+    table_of = kinds(df.sparkSession)
 
     def find(texts: pa.Table, known: pa.Table) -> pa.Table:
-        sentences = texts["_sentences"].combine_chunks()
-        of_text = _offsets(pc.list_value_length(sentences))
-        lists = sentences.flatten()
-        of_sentence = _offsets(pc.list_value_length(lists))
-        word, sizes = lists.flatten(), np.diff(of_sentence)
-        sent = np.repeat(_places(of_text), sizes)
+        surface = surface_tokens(texts[column].combine_chunks(), table_of)
+        word = surface.words
         at = pc.index_in(word, value_set=known["token"].combine_chunks())
         lemma = pc.coalesce(known["lemma"].combine_chunks().take(at), word)
         upos = pc.coalesce(known["upos"].combine_chunks().take(at), pa.scalar(UNKNOWN_TAG, word.type))
-        values = [pa.array(sent), pa.array(_places(of_sentence)), word, lemma, upos]
+        values = [pa.array(surface.sent), pa.array(surface.pos), word, lemma, upos]
         found = pa.StructArray.from_arrays(values, ["sent", "pos", "text", "lemma", "upos"])
-        tokens = pa.ListArray.from_arrays(pa.array(of_sentence[of_text]), found)
+        tokens = pa.ListArray.from_arrays(pa.array(surface.starts), found)
         return pa.table([texts[key], tokens], names=[key, "tokens"])
 
-    text = F.col(column)
-    # Blanks end words as sentences do.
-    words = F.regexp_extract_all(F.regexp_replace(text, X.SENTENCE_END, "\n"), F.lit(X.SURFACE_TOKEN), F.lit(0))
-    sentences = F.coalesce(X.sentence_tokens(text), F.array().cast("array<array<string>>")).alias("_sentences")
-    blocks = in_blocks(df.select(key, column), F.octet_length(text), BLOCK_BYTES)
-    return lookup_words(blocks, words, best_entries(lexicon), [F.col(key), sentences], find, schema)
+    blocks = in_blocks(df.select(key, column), F.octet_length(column), BLOCK_BYTES)
+    held = surface_of_blocks(blocks, column)
+    return lookup_words(blocks, held, best_entries(lexicon), [F.col(key), F.col(column)], find, schema)
 
 
 def _offsets(lengths: pa.Array) -> np.ndarray:
@@ -119,11 +114,6 @@ def _offsets(lengths: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths.to_numpy(zero_copy_only=False))]).astype(np.int32)
 
 
-def _places(offsets: np.ndarray) -> np.ndarray:
-    """Place of every entry in its list."""
-    return np.arange(offsets[-1], dtype=np.int32) - np.repeat(offsets[:-1], np.diff(offsets))
-
-
 def annotate_with(
     df: DataFrame,
     tagger: Callable[[pd.Series], pd.Series],
@@ -209,7 +199,7 @@ def encode_tokens(
     entries = vocab.groupBy("token").agg(F.sort_array(F.collect_list(F.col("id").cast("int"))).alias("_ids"))
     blocks = in_blocks(df.select(key, tokens), F.greatest(F.size(tokens), F.lit(0)), BLOCK_WORDS)
     whole = F.coalesce(tokens, F.array().cast(df.schema[tokens].dataType)).alias("_tokens")
-    return lookup_words(blocks, F.col(tokens), entries, [F.col(key), whole], find, schema)
+    return lookup_words(blocks, words_of_blocks(blocks, F.col(tokens)), entries, [F.col(key), whole], find, schema)
 
 
 def max_len(df: DataFrame, ids: str = "ids") -> DataFrame:
