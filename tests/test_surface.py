@@ -3,6 +3,7 @@ import sys
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from checks import data as D
 from reviewlode.functions import text as X
 from reviewlode.operators import surface, tokens
 
@@ -56,3 +57,17 @@ def test_annotation_shuffles_no_expressions(spark):
     lexicon = spark.createDataFrame([("a", "a", "NOUN", 1)], "token string, lemma string, upos string, freq long")
     plan = tokens.annotate(texts, lexicon)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp" not in plan and "split(" not in plan
+
+
+def test_persian_texts_are_made_once(spark, tmp_path):
+    """A query over Persian texts maps their letters once, into a stored table that all its steps read."""
+    documents = [(1, "en", "Aba aba"), (2, None, None), (None, "fr", "x.")]
+    spark.createDataFrame(documents, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    lowered = D.documents_lower(spark, str(tmp_path))
+    lexicon, rows = D.lexicon_fa(lowered), D.reviews_fa(spark, str(tmp_path), lowered, labelled=False)
+    assert [tuple(r) for r in lexicon.collect()] == [("ابا", "ابا", "ADJ", 2)]
+    assert {(r.review_id, r.comment) for r in rows.collect()} == {(1, "ابا ابا"), (2, None), (None, "خ.")}
+    for table in (lexicon, rows):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "translate(" not in plan and "lower(" not in plan
