@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from reviewlode.operators.blocks import in_blocks, lookup_words
+from reviewlode.operators.blocks import in_blocks, lookup_words, words_of_blocks
 from reviewlode.operators.tokens import BLOCK_WORDS
 from reviewlode.session import workers_find_package
 
@@ -63,7 +63,8 @@ class WordVectors(Transformer):
 
         numbered = df.withColumn("_row", F.monotonically_increasing_id())
         blocks = in_blocks(numbered, F.greatest(F.size(column), F.lit(0)), BLOCK_WORDS)
-        found = lookup_words(blocks, F.col(column), self.table, [F.col(c) for c in df.columns], find, schema)
+        held = words_of_blocks(blocks, F.col(column))
+        found = lookup_words(blocks, held, self.table, [F.col(c) for c in df.columns], find, schema)
         return found.select(*df.columns, array_to_vector("_mean").alias(self.output))
 
 

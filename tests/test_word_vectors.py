@@ -29,3 +29,15 @@ def test_word_vectors_stay_in_tables(spark, monkeypatch):
         assert np.allclose(means[i], sum(found[w] for w in words) / len(words), atol=1e-6)
     again = {r.word: np.array(r.vector) for r in vectors.fit_word_vectors(df, size=8, min_count=2, passes=16).getVectors().collect()}
     assert all(np.array_equal(found[w], again[w]) for w in found)
+
+
+def test_texts_without_known_words_keep_their_rows(spark):
+    """A table of vectors gives every row its mean: keys may repeat or be null, and a whole block may know no word."""
+    table = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "token string, vector array<float>")
+    rows = [(1, ["a", "b"]), (1, ["a", None]), (None, ["x"]), (2, None), (3, [])]
+    model = WordVectors(table, "tokens", "features", 2)
+    found = model.transform(spark.createDataFrame(rows, "review_id long, tokens array<string>")).collect()
+    means = sorted((str(r.review_id), r.features.toArray().tolist()) for r in found)
+    assert means == [("1", [0.5, 0.0]), ("1", [0.5, 0.5]), ("2", [0.0, 0.0]), ("3", [0.0, 0.0]), ("None", [0.0, 0.0])]
+    unknown = model.transform(spark.createDataFrame([(9, ["x", "y"])], "review_id long, tokens array<string>")).collect()
+    assert [r.features.toArray().tolist() for r in unknown] == [[0.0, 0.0]]
