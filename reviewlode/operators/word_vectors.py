@@ -62,8 +62,8 @@ class WordVectors(Transformer):
             return texts.drop_columns(["_block"]).append_column("_mean", pa.ListArray.from_arrays(ends, pa.array(means)))
 
         numbered = df.withColumn("_row", F.monotonically_increasing_id())
-        blocks = in_blocks(numbered, F.greatest(F.size(column), F.lit(0)), BLOCK_WORDS)
-        held = words_of_blocks(blocks, F.col(column))
+        blocks = in_blocks(numbered, F.greatest(F.size(column), F.lit(0)), BLOCK_WORDS).drop("_row")
+        held = words_of_blocks(blocks, column)
         found = lookup_words(blocks, held, self.table, [F.col(c) for c in df.columns], find, schema)
         return found.select(*df.columns, array_to_vector("_mean").alias(self.output))
 
